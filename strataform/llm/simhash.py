@@ -209,10 +209,11 @@ def spanning(pairs: np.ndarray) -> np.ndarray:
 
 
 def _shard_links(rows: pd.DataFrame) -> pd.DataFrame:
-    fp = rows["fp"].to_numpy(np.int64)
+    fp = rows["fp"].to_numpy(np.int64).view(np.uint64)  # bit counts of signed numbers are of their absolute values
     at_home = rows["home"].to_numpy(bool)
     pairs = spanning(vp_links(np.unique(fp[at_home]), np.unique(fp)))
-    return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]}, dtype=np.int64)
+    pairs = pairs.view(np.int64)
+    return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
 
 def components(links: DataFrame) -> DataFrame:
