@@ -6,10 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash
+from . import classifier, packing, simhash, token_output
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
+    "op7_sum_of_squares_packing": packing.op7_sum_of_squares_packing,
+    "op9_token_matrices": token_output.op9_token_matrices,
+    "op10_quality_classifier": classifier.op10_quality_classifier,
 }
 ORACLES: dict[str, str] = {}
 
