@@ -6,15 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import classifier, packing, simhash, token_output
+from . import classifier, decontaminate, license_scan, packing, quality_rules, simhash, token_output
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
+    "op2_benchmark_decontamination": decontaminate.op2_benchmark_decontamination,
+    "op5_host_quality_rules": quality_rules.op5_host_quality_rules,
+    "op6_license_scan": license_scan.op6_license_scan,
     "op7_sum_of_squares_packing": packing.op7_sum_of_squares_packing,
     "op9_token_matrices": token_output.op9_token_matrices,
     "op10_quality_classifier": classifier.op10_quality_classifier,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_benchmark_decontamination": decontaminate.OP2_SQL,
+    "op5_host_quality_rules": quality_rules.OP5_SQL,
+    "op6_license_scan": license_scan.OP6_SQL,
+}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
