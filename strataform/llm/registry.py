@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import classifier, decontaminate, license_scan, packing, quality_rules, simhash, token_output
+from . import classifier, decontaminate, license_scan, packing, quality_rules, simhash, suffix_dedup, token_output
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_host_quality_rules": quality_rules.op5_host_quality_rules,
     "op6_license_scan": license_scan.op6_license_scan,
     "op7_sum_of_squares_packing": packing.op7_sum_of_squares_packing,
+    "op8_suffix_array_dedup": suffix_dedup.op8_suffix_array_dedup,
     "op9_token_matrices": token_output.op9_token_matrices,
     "op10_quality_classifier": classifier.op10_quality_classifier,
 }
