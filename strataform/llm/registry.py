@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import classifier, decontaminate, license_scan, packing, quality_rules, simhash, suffix_dedup, token_output
+from . import classifier, decontaminate, html_extract, license_scan, packing, quality_rules, simhash, suffix_dedup, token_output, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
     "op2_benchmark_decontamination": decontaminate.op2_benchmark_decontamination,
+    "op3_warc_round_trip": warc.op3_warc_round_trip,
+    "op4_html_main_text": html_extract.op4_html_main_text,
     "op5_host_quality_rules": quality_rules.op5_host_quality_rules,
     "op6_license_scan": license_scan.op6_license_scan,
     "op7_sum_of_squares_packing": packing.op7_sum_of_squares_packing,
@@ -20,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 ORACLES: dict[str, str] = {
     "op2_benchmark_decontamination": decontaminate.OP2_SQL,
+    "op3_warc_round_trip": warc.OP3_SQL,
     "op5_host_quality_rules": quality_rules.OP5_SQL,
     "op6_license_scan": license_scan.OP6_SQL,
 }
