@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import functools
 import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +19,7 @@ import numpy as np
 VOCABULARY = "word_bpe_49k.json"
 END = 1
 #: Pieces and words kept in a worker before its caches start anew.
-CACHED = 400_000
+CACHED = 800_000
 
 _PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
 _WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
@@ -46,12 +47,14 @@ class Encoder:
         found = self.words.get(word)
         if found is None:
             spelt = word.encode().decode("latin-1").translate(self.letters)
-            found = np.array([t.id for t in self.model.tokenize(spelt)], "<u2").tobytes()
+            found = struct.pack(f"<{len(ids := [t.id for t in self.model.tokenize(spelt)])}H", *ids)
             self.words[word] = found
         return found
 
     def _piece(self, piece: str) -> bytes:
         if _PLAIN.fullmatch(piece) and "<|" not in piece:
+            if piece.isalpha():
+                return self._word(piece.lower())
             return b"".join(map(self._word, _WORDS.findall(piece.lower())))
         return np.array(self.whole.encode(piece, add_special_tokens=False).ids, "<u2").tobytes()
 
