@@ -1 +1 @@
-
+"""Tables, graphs, versions and lineage as DataFrame transformations."""

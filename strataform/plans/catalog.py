@@ -5,22 +5,20 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from . import graph_queries, table_queries, version_queries
+
+PARTS = (table_queries, graph_queries, version_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(QUERIES)
+    return {name: f for part in PARTS for name, (f, _) in part.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+    return {name: sql for part in PARTS for name, (_, sql) in part.QUERIES.items() if sql}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Annotated items of a dataset version, counted by label and source."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source")
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return docs.join(labels, "doc_id").groupBy("source", "quality").agg(F.count("*").alias("items"))
+    """Annotated documents counted by label."""
+    return version_queries.QUERIES["label_profile"][0](spark, sf_dir)
