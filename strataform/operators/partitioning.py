@@ -40,3 +40,9 @@ def vertex_cut_range(edges: DataFrame, splits: list[int], by: str = "src") -> Da
     owned = rows.select("part", F.col("own").alias("vid")).distinct()
     copies = rows.select("part", F.col("far").alias("vid")).distinct().join(owned, ["part", "vid"], "left_anti")
     return owned.withColumn("is_replica", F.lit(False)).unionByName(copies.withColumn("is_replica", F.lit(True)))
+
+
+def edge_balanced_splits(edges: DataFrame, parts: int, by: str = "src", error: float = 0.001) -> list[float]:
+    """Key splits that give each part about as many edges: quantiles of the edges' keys,
+    of which the driver gets parts - 1 numbers."""
+    return edges.approxQuantile(by, [k / parts for k in range(1, parts)], error)
