@@ -9,18 +9,20 @@ same text or in another. Texts are compared as UTF-8 bytes.
    equal smallest hashes at equal offsets, so they meet in that hash's bucket, and never
    in one run. Most hashes occur once in the corpus and are done with. Neighbouring equal
    runs, as periodic texts have them, are emitted as one.
-3. Equal runs are counted together (in the map task first). A run found twice repeats as
-   a whole. Buckets that also hold runs found once get a suffix array over one copy of
-   each of their runs.
+3. Buckets whose runs are all equal repeat as a whole, and so do equal runs in other
+   buckets: both are found by counting. The different runs of a mixed bucket are cut once
+   more, by a second, independent hash. What only shares a common phrase with others
+   parts from them then; what still meets gets a suffix array.
 4. The suffix array: a suffix is of type B if it is smaller than its successor, else of
-   type A. Only the B suffixes are sorted directly, on their first DEPTH bytes. The A
-   suffixes follow by scanning the buckets of first bytes in rising order: each suffix
-   found puts its predecessor, if that is of type A, next in the bucket of its first byte.
+   type A. Only the B suffixes are sorted directly, on their first bytes. The A suffixes
+   follow by scanning the buckets of first bytes in rising order: each suffix found puts
+   its predecessor, if that is of type A, next in the bucket of its first byte.
    Neighbours' common prefixes of MATCH bytes or more mark the repeated windows.
-5. Marks go back to all places of their runs by a join, and are merged for each text.
+5. Spans are gathered and merged for each text.
 
 A text is told from others by its 64-bit hash and its size, a run by two 64-bit hashes.
-No step gathers more in a task than one bucket's different runs.
+A bucket of more than LARGE bytes (very many texts that share a passage and go on
+differently) is not sorted: its windows' 64-bit hashes are counted instead.
 """
 
 from __future__ import annotations
@@ -40,15 +42,18 @@ GRAM = 32
 #: Bytes that are hashed, or sorted, at a time.
 BLOCK = 1 << 20
 SHARD = 1 << 19
-RUNS = "hash long, digest long, key long, size int, lo int, hi int, unit int, times int"
+LARGE = 1 << 22
+#: run: digest, key, size and first window, last window, last window of the first of equal
+#: runs, how many those are. One array, so that all readers of a run take the same shuffle.
+RUNS = "hash long, run array<long>"
 _MULTIPLIER = 0x9E3779B97F4A7C15
 
 
-def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
+def gram_hashes(data: np.ndarray, gram: int, seed: int = 0) -> np.ndarray:
     """A hash of the gram bytes from each position on (gram a power of two)."""
     with np.errstate(over="ignore"):
-        h = (data.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
-        factor, width = _MULTIPLIER, 1
+        h = (data.astype(np.uint64) + np.uint64(1 + 1000 * seed)) * np.uint64(0xD6E8FEB86659FD93)
+        factor, width = _MULTIPLIER + 2 * seed, 1
         while width < gram:
             h = h[:-width] * np.uint64(factor) + h[width:]
             factor = factor * factor % 2**64
@@ -67,7 +72,7 @@ def window_minima(h: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(out[: len(h) - width + 1], out[width - have : width - have + len(h) - width + 1]) if have < width else out
 
 
-def runs_of(texts: list[bytes], match: int = MATCH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+def runs_of(texts: list[bytes], match: int = MATCH, gram: int = GRAM, seed: int = 0) -> tuple[np.ndarray, ...]:
     """(text number, smallest hash, first window, last window) of each run.
 
     The hashes' low bits give way to their positions, so that minima tell the place."""
@@ -75,7 +80,7 @@ def runs_of(texts: list[bytes], match: int = MATCH, gram: int = GRAM) -> tuple[n
     if not texts_long:
         return (np.empty(0, np.int64),) * 4
     data = np.frombuffer(b"".join(t for _, t in texts_long), np.uint8)
-    hashes = gram_hashes(data, gram)
+    hashes = gram_hashes(data, gram, seed)
     low = np.uint64((1 << len(data).bit_length()) - 1)
     least = window_minima((hashes & ~low) | np.arange(len(hashes), dtype=np.uint64), match - gram + 1)
     owner, first, last, value = [], [], [], []
@@ -114,13 +119,26 @@ def emit_runs(match: int, gram: int):
             new[1:] = (owner[1:] != owner[:-1]) | (digest[1:] != digest[:-1]) | (value[1:] != value[:-1])
             at = np.flatnonzero(new)
             times = np.diff(np.append(at, len(owner)))
-            ints = [sizes[owner[at]], lo[at], hi[at + times - 1], hi[at], times]
-            cols = [value[at], digest[at], keys[owner[at]], *[c.astype(np.int32) for c in ints]]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], [f.split()[0] for f in RUNS.split(", ")])
+            run = np.column_stack([digest[at], keys[owner[at]], (sizes[owner[at]].astype(np.int64) << 32) | lo[at], hi[at + times - 1], hi[at], times])
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, run.size + 1, 6, dtype=np.int32)), pa.array(run.ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array(value[at]), lists], ["hash", "run"])
 
     return emit
 
 
+def sorted_suffixes(text: bytes, at: np.ndarray, depth: int) -> np.ndarray:
+    """The suffixes at, sorted on their first depth bytes: by eight bytes as one number,
+    then ties by the rest."""
+    padded = np.frombuffer(text + bytes(8), np.uint8)
+    head = np.ndarray((len(text),), ">u8", padded, strides=(1,))[at].astype(np.uint64)
+    order = np.argsort(head, kind="stable")
+    at, head = at[order], head[order]
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], (head[1:] == head[:-1]).view(np.int8), [0]])))
+    for a, b in zip(edges[::2].tolist(), (edges[1::2] + 1).tolist()):
+        at[a:b] = sorted(at[a:b].tolist(), key=lambda i: text[i : i + depth])
+    return at
+
+
 def suffix_array(text: bytes, depth: int) -> np.ndarray:
     """The suffixes of text in the order of their first depth bytes, at least."""
     t = np.frombuffer(text, np.uint8)
@@ -130,8 +148,7 @@ def suffix_array(text: bytes, depth: int) -> np.ndarray:
     ahead = np.where(step != 0, np.arange(n), n)
     ahead = np.minimum.accumulate(ahead[::-1])[::-1]  # equal bytes take the type of the next unequal pair
     is_b = step[ahead] > 0
-    direct = sorted(np.flatnonzero(is_b).tolist(), key=lambda i: text[i : i + depth])
-    direct = np.array(direct, np.int64)
+    direct = sorted_suffixes(text, np.flatnonzero(is_b), depth)
     b_first = t[direct] if len(direct) else np.empty(0, np.uint8)
     b_cuts = np.searchsorted(b_first, np.arange(257))
     queued: dict[int, list[np.ndarray]] = defaultdict(list)
@@ -195,36 +212,73 @@ def repeated_windows(snippets: list[bytes], match: int = MATCH) -> list[np.ndarr
     return [marked[s : s + max(0, z - match)] for s, z in zip(starts.tolist(), sizes.tolist())]
 
 
-MARKS = "hash long, digest long, froms array<int>, tos array<int>"
+REFINED = "bucket long, key long, size int, lo int, n long, snippet binary"
+
+
+def refine(match: int, gram: int):
+    """Rows (snippet, hash, key, size, lo, n, copies) to REFINED: each snippet's runs by a second hash."""
+
+    def cut(batches):
+        for block in blocks(batches):
+            texts, *cols = (c.to_pylist() for c in block.columns)
+            out = []
+            for o, value, lo, hi in zip(*(c.tolist() for c in runs_of(texts, match, gram, 1))):
+                first, key, size, start, n = (c[o] for c in cols[:5])
+                out.append(((value ^ (first * 5 + 3)) & (2**63 - 1), key, size, start + lo, n, texts[o][lo : hi + match]))
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(list(zip(*out)) or [()] * 6, kinds)], [f.split()[0] for f in REFINED.split(", ")])
+
+    return cut
+
+
+SPANS = "key long, size int, a array<int>, b array<int>"
 
 
 def mark_shards(match: int):
-    """Rows (hash, digest, n, snippet), a bucket's rows together, to MARKS of those found once."""
+    """REFINED rows, a bucket's rows together, to the repeated SPANS of those found once."""
+
+    def counted(snippets: list[bytes]) -> list[np.ndarray]:
+        hashes = [np.fromiter((xxhash.xxh3_64_intdigest(s[i : i + match]) for i in range(len(s) - match + 1)), np.uint64, len(s) - match + 1) for s in snippets]
+        values, counts = np.unique(np.concatenate(hashes), return_counts=True)
+        twice = values[counts > 1]
+        return [np.isin(h, twice) for h in hashes]
 
     def mark(batches):
-        rows: list[tuple] = []
+        ready: list[tuple] = []  # buckets with company
+        bucket: list[tuple] = []
         held = 0
 
-        def settle():
-            found = repeated_windows([r[3] for r in rows], match)
+        def settle(rows, find):
             out = []
-            for (value, digest, n, _), marks in zip(rows, found):
+            for (_, key, size, lo, n, _), marks in zip(rows, find([r[5] for r in rows])):
                 if n == 1 and marks.any():
                     edge = np.diff(np.concatenate([[0], marks.view(np.int8), [0]]))
-                    out.append((value, digest, np.flatnonzero(edge == 1).tolist(), (np.flatnonzero(edge == -1) - 1).tolist()))
-            cols = list(zip(*out)) or [(), (), (), ()]
-            kinds = [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32())]
-            return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds)], [f.split()[0] for f in MARKS.split(", ")])
+                    out.append((key, size, (lo + np.flatnonzero(edge == 1)).tolist(), (lo + np.flatnonzero(edge == -1) - 1 + match).tolist()))
+            kinds = [pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32())]
+            return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(list(zip(*out)) or [()] * 4, kinds)], [f.split()[0] for f in SPANS.split(", ")])
+
+        def closed():
+            nonlocal ready, bucket, held
+            size = sum(len(r[5]) for r in bucket)
+            if len(bucket) > 1 and any(r[4] == 1 for r in bucket):
+                if size > LARGE:
+                    yield settle(bucket, counted)
+                else:
+                    ready += bucket
+                    held += size
+            bucket = []
+            if held >= SHARD:
+                yield settle(ready, lambda snippets: repeated_windows(snippets, match))
+                ready, held = [], 0
 
         for batch in batches:
             for row in zip(*[c.to_pylist() for c in batch.columns]):
-                if held >= SHARD and row[0] != rows[-1][0]:
-                    yield settle()
-                    rows, held = [], 0
-                rows.append(row)
-                held += len(row[3])
-        if rows:
-            yield settle()
+                if bucket and row[0] != bucket[0][0]:
+                    yield from closed()
+                bucket.append(row)
+        yield from closed()
+        if ready:
+            yield settle(ready, lambda snippets: repeated_windows(snippets, match))
 
     return mark
 
@@ -258,23 +312,30 @@ def cut_texts(match: int):
 
 def kept_bytes(docs: DataFrame, match: int = MATCH, gram: int = GRAM) -> DataFrame:
     """KEPT for each different text of docs of at least match bytes."""
-    size = F.octet_length("text").cast("int")
-    long = docs.filter(size >= match).select(F.col("text").cast("binary").alias("text"), F.xxhash64("text").alias("key"), size.alias("size"))
+    size = F.coalesce(F.octet_length("text").cast("int"), F.lit(0))
+    # All readers of texts, and all of runs, must ask for the same rows and columns to share
+    # one shuffle. So what joins would infer is kept from them: the filter is not on size,
+    # and a run's fields are never null.
+    long = docs.filter(F.length(F.col("text").cast("binary")) >= match).select(F.col("text").cast("binary").alias("text"), F.xxhash64("text").alias("key"), size.alias("size"))
     texts = long.groupBy("key", "size").agg(F.first("text").alias("text"), F.count("*").alias("copies")).select("text", "key", "size", "copies")
     runs = texts.mapInArrow(emit_runs(match, gram), RUNS)
-    place = F.struct("key", "size", "lo", F.col("unit").alias("hi"))
-    kinds = runs.groupBy("hash", "digest").agg(F.sum("times").alias("n"), F.min(place).alias("place"))
-    totals = kinds.groupBy("hash").agg(F.sum("n").alias("total"), F.min("n").alias("least"), F.count("*").alias("kinds")).filter("total > 1")
-    known = kinds.join(totals, "hash").select("hash", "digest", "n", "place", "least", "kinds")
-    whole = known.filter("n > 1").select("hash", "digest", F.lit(None).cast("array<int>").alias("froms"), F.lit(None).cast("array<int>").alias("tos"))
-    unsure = known.filter("least = 1 and kinds > 1").select("hash", "digest", "n", "place.*")
-    cuts = unsure.join(texts.select("key", "size", "text"), ["key", "size"])
-    snippets = cuts.select("hash", "digest", "n", F.expr(f"substring(text, lo + 1, hi - lo + {match})").alias("snippet"))
-    marks = snippets.repartition("hash").sortWithinPartitions("hash", "digest").mapInArrow(mark_shards(match), MARKS)
-    spans = runs.select("hash", "digest", "key", "size", "lo", "hi").join(whole.union(marks), ["hash", "digest"])
-    start = F.when(F.col("froms").isNull(), F.array("lo")).otherwise(F.transform("froms", lambda x: x + F.col("lo")))
-    end = F.when(F.col("froms").isNull(), F.array(F.col("hi") + match)).otherwise(F.transform("tos", lambda x: x + F.col("lo") + match))
-    by_text = spans.groupBy("key", "size").agg(F.collect_list(F.struct(start.alias("a"), end.alias("b"))).alias("spans"))
+    part = lambda k: F.coalesce(F.col("run")[k], F.lit(0))
+    digest, times = part(0), part(5)
+    counts = runs.groupBy("hash").agg(F.sum(times).alias("total"), F.min(digest).alias("one"), F.max(digest).alias("other"))
+    counts = counts.filter("total > 1").select("hash", (F.col("one") != F.col("other")).alias("mixed"))
+    alive = runs.join(counts.hint("shuffle_hash"), "hash")
+    size, lo = F.shiftright(part(2), 32).cast("int"), part(2).bitwiseAND(2**31 - 1).cast("int")
+    span = [part(1).alias("key"), size.alias("size"), F.array(lo).alias("a"), F.array((part(3) + match).cast("int")).alias("b")]
+    mixed = alive.filter("mixed").withColumn("digest", digest)
+    kinds = mixed.groupBy("hash", "digest").agg(F.sum(times).alias("n"), F.min("run").alias("run"))
+    whole = mixed.join(kinds.filter("n > 1").select("hash", "digest"), ["hash", "digest"]).select(*span)
+    kinds = kinds.select("hash", "n", part(1).alias("key"), size.alias("size"), lo.alias("lo"), part(4).cast("int").alias("hi"))
+    pool = kinds.join(texts, ["key", "size"])
+    pool = pool.select(F.expr(f"substring(text, lo + 1, hi - lo + {match})").alias("snippet"), "hash", "key", "size", "lo", "n", "copies")
+    refined = pool.mapInArrow(refine(match, gram), REFINED)
+    marks = refined.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(mark_shards(match), SPANS)
+    spans = alive.filter(~F.col("mixed")).select(*span).unionAll(whole).unionAll(marks)
+    by_text = spans.groupBy("key", "size").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
     joined = texts.join(by_text, ["key", "size"], "left").select("text", "key", "size", "copies", F.flatten("spans.a").alias("starts"), F.flatten("spans.b").alias("ends"))
     return joined.mapInArrow(cut_texts(match), KEPT)
 

@@ -51,9 +51,10 @@ def test_runs_cover_each_window_once():
         assert [x for a, b in spans for x in range(a, b + 1)] == list(range(max(0, len(t) - 199)))
 
 
-@pytest.mark.parametrize("match,gram", [(200, 32), (24, 4)])
-def test_against_brute_force(spark, match, gram, monkeypatch):
+@pytest.mark.parametrize("match,gram,large", [(200, 32, 1 << 22), (24, 4, 1 << 22), (200, 32, 300)])
+def test_against_brute_force(spark, match, gram, large, monkeypatch):
     monkeypatch.setattr(sd, "SHARD", 3000)
+    monkeypatch.setattr(sd, "LARGE", large)
     monkeypatch.setattr(sd, "BLOCK", 5000)
     rng = random.Random(4)
     text = lambda n: "".join(rng.choice("abcdé \n") for _ in range(n))
