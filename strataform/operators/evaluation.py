@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .running import running_totals
+from .running import running_max, running_totals
 from .tables import first_per_key
 
 
@@ -60,8 +60,7 @@ def average_precision(truth: DataFrame, found: DataFrame, thresholds: list[float
     curve = curve.join(real, "label").select("threshold", "label", "hit", "tp", (F.col("tp") / F.col("seen")).alias("precision"), (F.col("tp") / F.col("real")).alias("recall"), "real")
     # recall steps: the precision kept at a recall is the best at it or any higher recall
     steps = curve.groupBy("threshold", "label", "tp", "real").agg(F.max("precision").alias("precision")).filter("tp > 0")
-    ahead = Window.partitionBy("threshold", "label").orderBy(F.desc("tp")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    steps = steps.withColumn("best", F.max("precision").over(ahead))
+    steps = running_max(steps.withColumn("back", -F.col("tp")), ["threshold", "label"], ["back"], {"best": F.col("precision")})
     labels = real.withColumn("threshold", F.explode(F.array(*[F.lit(t) for t in thresholds]))).select("threshold", "label")
     if points is None:
         area = steps.groupBy("threshold", "label").agg(F.sum(F.col("best") / F.col("real")).alias("ap"))

@@ -5,19 +5,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
 
-def running_totals(df: DataFrame, groups: list[str], order: list[Column | str], values: dict[str, Column]) -> DataFrame:
-    """df with, for each name in values, the total of its column over the rows of the same
-    group up to and with this one. Rows are range-partitioned by group and order; only
-    each partition's totals by group pass through a window of their own, so a group that
-    holds most rows is still spread over tasks. The order must tell all rows of a group
-    apart."""
+
+def running(df: DataFrame, groups: list[str], order: list[Column | str], values: dict[str, Column], fold=F.sum) -> DataFrame:
+    """df with, for each name in values, its column folded (F.sum or F.max) over the rows of
+    the same group up to and with this one. The order must tell all rows of a group apart.
+
+    Rows are range-partitioned by group and order; only each partition's results by group
+    pass through a window of their own, so a group that holds most rows is still spread
+    over tasks. The partitioned rows are checkpointed: both the rows and the partitions'
+    results must come from the same partitioning."""
     ranks = [F.col(o) if isinstance(o, str) else o for o in order]
     parts = df.repartitionByRange(*[F.col(g) for g in groups], *ranks).withColumn("_part", F.spark_partition_id())
     inside = Window.partitionBy("_part", *groups).orderBy(*ranks).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    parts = parts.withColumns({f"_in_{n}": F.sum(v).over(inside) for n, v in values.items()})
-    totals = parts.groupBy("_part", *groups).agg(*[F.sum(v).alias(f"_all_{n}") for n, v in values.items()])
+    parts = checkpointed(parts.withColumns({f"_in_{n}": fold(v).over(inside) for n, v in values.items()}))
+    totals = parts.groupBy("_part", *groups).agg(*[fold(v).alias(f"_all_{n}") for n, v in values.items()])
     ahead = Window.partitionBy(*groups).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select("_part", *groups, *[F.coalesce(F.sum(f"_all_{n}").over(ahead), F.lit(0)).alias(f"_ahead_{n}") for n in values])
+    totals = totals.select("_part", *groups, *[fold(f"_all_{n}").over(ahead).alias(f"_ahead_{n}") for n in values])
     joined = parts.join(totals, ["_part", *groups])
-    return joined.select(*df.columns, *[(F.col(f"_in_{n}") + F.col(f"_ahead_{n}")).alias(n) for n in values])
+    both = {n: F.greatest(f"_in_{n}", f"_ahead_{n}") if fold is F.max else F.col(f"_in_{n}") + F.coalesce(f"_ahead_{n}", F.lit(0)) for n in values}
+    return joined.select(*df.columns, *[c.alias(n) for n, c in both.items()])
+
+
+def running_totals(df: DataFrame, groups: list[str], order: list[Column | str], values: dict[str, Column]) -> DataFrame:
+    """Sums up to and with each row."""
+    return running(df, groups, order, values, F.sum)
+
+
+def running_max(df: DataFrame, groups: list[str], order: list[Column | str], values: dict[str, Column]) -> DataFrame:
+    """Largest values up to and with each row."""
+    return running(df, groups, order, values, F.max)

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from ..functions.scalars import hash_part
 from ..functions.types import schema as to_schema
 from ..functions.types import spelled
+from ..session import checkpointed
 from ..sources.text_tables import read_csv, read_schema
 
 
@@ -34,10 +35,10 @@ def first_per_key(df: DataFrame, keys: list[str], order: list[str | Column]) ->
 
 def numbered(df: DataFrame, name: str, start: int | Column, order: list[str]) -> DataFrame:
     """df with consecutive numbers from start in the given order, without bringing all
-    rows to one task: rows are range-partitioned and each partition's count is carried."""
-    ranged = df.repartitionByRange(*order) if df.columns else df
-    parts = ranged.withColumn("_part", F.spark_partition_id())
-    parts = parts.withColumn("_place", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
+    rows to one task: rows are range-partitioned and each partition's count is carried.
+    Rows and counts must come from one partitioning, so it is checkpointed."""
+    parts = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    parts = checkpointed(parts.withColumn("_place", F.row_number().over(Window.partitionBy("_part").orderBy(*order))))
     counts = parts.groupBy("_part").agg(F.count("*").alias("_n"))  # one row for each partition
     before = counts.select("_part", F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
     at = F.lit(start) if isinstance(start, int) else start

@@ -7,7 +7,7 @@ import __spark_entry__
 from strataform.functions import scalars, types
 from strataform.operators import evaluation, gnn, lineage, subgraph, traverse, versions
 from strataform.operators.graph import GraphError, PropertyGraph
-from strataform.operators.running import running_totals
+from strataform.operators.running import running_max, running_totals
 from strataform.operators.tables import Store, TableError, numbered
 from strataform.sources import archive, text_tables
 from strataform.streaming import compaction
@@ -72,6 +72,9 @@ def test_running_totals_and_numbers_over_partitions(spark):
         for i in sorted(i for h, i in got if h == g):
             total += i
             assert got[g, i] == total
+    many = spark.range(60_000).select((F.col("id") * 7919 % 60_000).alias("id"), F.lit(0).alias("g")).repartition(7)
+    rows = running_max(running_totals(many, ["g"], ["id"], {"t": F.lit(1)}), ["g"], ["id"], {"m": F.col("t")})
+    assert rows.filter("t <> id + 1 or m <> t").isEmpty() and numbered(many, "n", 5, ["id"]).filter("n <> id + 5").isEmpty()
     assert [r.n for r in numbered(df, "n", 10, ["id"]).orderBy("id").collect()] == list(range(10, 1010))
 
 
