@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import ascii_lower, barrier, fresh, table
+from .shared import ascii_lower, barrier, fresh, table, written
 
 WINDOW = 10
 ANCHOR = 4
@@ -85,6 +85,7 @@ def _scanned(docs: DataFrame, benchmark: DataFrame, size: int) -> DataFrame:
         parts = [spelt(length, hits) for length, hits in by_size.items()]
         none = F.array().cast("array<struct<at:int,size:int,window:string>>")
         return rows.select("row", "doc_id", F.col("n").alias("n_words"), (F.concat(*parts) if parts else none).alias("hits"))
+    rows = written(rows, "words")  # read twice, and row numbers must stay the same
     known = windows(benchmark, size)
     sizes = [r["size"] for r in known.select("size").distinct().collect()]  # at most WINDOW of them
     spread = rows.select("row", "found", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("at")) if sizes else rows.limit(0).withColumn("at", F.lit(0))
