@@ -112,7 +112,7 @@ def block_masks(rows: int) -> list[int]:
 def shards(prints: DataFrame, rows: int) -> DataFrame:
     """(cell, band, home, fp): each fingerprint once at home in each mask, and as a
     visitor in the bands that its radius overlaps."""
-    depth = max(0, min(10, round(math.log(max(1, rows / AIM), 6))))
+    depth = max(0, min(9, round(math.log(max(1, rows / AIM), 6))))  # a path of nine fits in 63 bits
     fp = F.col("fp")
     far = F.bit_count(fp.bitwiseXOR(F.lit(signed(VANTAGE[0])))).cast("int")
     paths = []
