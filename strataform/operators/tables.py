@@ -28,6 +28,8 @@ def first_per_key(df: DataFrame, keys: list[str], order: list[str | Column]) ->
     """The first row of each key by order. With struct minima instead of a window, so it
     combines in the map tasks and no key's rows are gathered."""
     rest = [c for c in df.columns if c not in keys]
+    if not rest:
+        return df.distinct()
     ranks = [F.expr(o) if isinstance(o, str) else o for o in order]
     best = df.groupBy(*keys).agg(F.min(F.struct(*[r.alias(f"_{k}") for k, r in enumerate(ranks)], F.struct(*[F.col(c) for c in rest]).alias("row"))).alias("best"))
     return best.select(*[F.col(f"best.row.{c}").alias(c) if c in rest else F.col(c) for c in df.columns])
