@@ -24,9 +24,8 @@ def first_label_accuracy(truth: DataFrame, predicted: DataFrame, name: str, orde
 
 def mean_fps(rows: DataFrame, order: str, fps: str = "fps") -> DataFrame:
     """The mean of fps without the first row by order; 0 without any."""
-    first = rows.agg(F.min(order).alias("_first"))
-    kept = rows.join(F.broadcast(first), F.col(order) > F.col("_first"))
-    return kept.agg(F.coalesce(F.avg(fps), F.lit(0.0)).alias("fps"))
+    first = rows.agg(F.min(order)).first()[0]
+    return rows.filter(F.col(order) > F.lit(first)).agg(F.coalesce(F.avg(fps), F.lit(0.0)).alias("fps"))
 
 
 def overlap(a: str, b: str):
