@@ -267,13 +267,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs without all but the first document of each component: the row with the
     smallest doc_id stays (one of them, if rows repeat it; nulls come last)."""
-    mark = fresh(docs, "kept_text")
-    prints = written(docs.select("doc_id", fingerprint(F.col("text")).alias("fp"), F.xxhash64("text").alias("kept_text")), "fingerprints")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "kept_text"))
-    kept = link_components(prints).groupBy("component_id").agg(first.alias("k")).select("k.doc_id", "k.kept_text")
-    rows = docs.withColumn(mark, F.xxhash64("text"))
-    same = rows["doc_id"].eqNullSafe(kept["doc_id"]) & (rows[mark] == kept["kept_text"])
-    return rows.join(kept, same, "left_semi").dropDuplicates(["doc_id", mark]).drop(mark)
+    mark = fresh(docs, "kept")
+    # one key of one column, nullable on both sides, so that the join and the removal of
+    # repeated rows take one shuffle of texts
+    key = F.struct(F.col("doc_id").alias("doc_id"), F.xxhash64("text").alias("text")).cast(f"struct<doc_id:{docs.schema['doc_id'].dataType.simpleString()},text:bigint>")
+    prints = written(docs.select("doc_id", fingerprint(F.col("text")).alias("fp"), key.alias(mark)), "fingerprints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), F.col(mark).alias("key")))
+    kept = link_components(prints).groupBy("component_id").agg(first.alias("first")).select(F.col("first.key").alias(mark))
+    return docs.withColumn(mark, key).join(kept, mark, "left_semi").dropDuplicates([mark]).select(*docs.columns)
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

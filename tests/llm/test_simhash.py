@@ -78,3 +78,10 @@ def test_tiles_and_deep_paths_lose_no_link(spark, monkeypatch):
 def test_empty(spark):
     docs = spark.createDataFrame([], DOCS)
     assert simhash.near_duplicates(docs).count() == 0 and simhash.keep_one(docs).count() == 0
+
+
+def test_rows_without_id(spark):
+    words = [" ".join(f"w{i * k % 97}" for i in range(80)) for k in (3, 5)]
+    docs = spark.createDataFrame([(None, words[0], "x", "x"), (None, words[0], "x", "x"), (None, words[1], "x", "x"), (4, words[1], "x", "x")], DOCS)
+    assert sorted((r.doc_id or 0, r.text == words[0]) for r in simhash.keep_one(docs).collect()) == [(0, True), (4, False)]
+    assert sorted((r.component_id or 0) for r in simhash.near_duplicates(docs).collect()) == [0, 0, 4, 4]
