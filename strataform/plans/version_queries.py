@@ -58,6 +58,12 @@ def filter_version(spark, sf):
     return versions.filtered(docs.filter("doc_id < 300").select("doc_id", "lang"), labels.select("doc_id", "quality"), "doc_id", "quality", labels=[1])
 
 
+@query("SELECT doc_id, lang, quality FROM documents JOIN labels USING (doc_id) WHERE quality IN (1)")
+def filter_version_whole(spark, sf):
+    docs, labels = read(spark, sf, "documents"), read(spark, sf, "labels")
+    return versions.filtered(docs.select("doc_id", "lang"), labels.select("doc_id", "quality"), "doc_id", "quality", labels=[1])
+
+
 @query("SELECT doc_id, lang, quality FROM documents LEFT JOIN labels USING (doc_id) WHERE doc_id IN (1, 2, 3, 5, 8, 13)")
 def filter_version_with_unannotated(spark, sf):
     docs, labels = read(spark, sf, "documents"), read(spark, sf, "labels")
@@ -95,22 +101,46 @@ def items_with_annotations(spark, sf):
     return read(spark, sf, "orders").join(read(spark, sf, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey")).select("o_orderkey", "l_linenumber", "l_quantity", "o_totalprice")
 
 
-@query("SELECT l_orderkey AS rid, l_linenumber AS annot_id, CASE WHEN l_linenumber % 2 = 0 THEN 0.25::DOUBLE END AS xmin, CASE WHEN l_linenumber % 2 = 0 THEN 0.75::DOUBLE END AS ymax, CASE WHEN l_linenumber % 2 = 1 THEN trunc(0.25 * 640)::INT END AS x0, CASE WHEN l_linenumber % 2 = 1 THEN trunc(0.75 * 481)::INT END AS y1 FROM lineitem WHERE l_orderkey % 10 = 0")
-def decode_annotations(spark, sf):
-    lines = read(spark, sf, "lineitem").filter("l_orderkey % 10 = 0")
+DECODED = "SELECT l_orderkey AS rid, l_linenumber AS annot_id, CASE WHEN l_linenumber % 2 = 0 THEN 0.25::DOUBLE END AS xmin, CASE WHEN l_linenumber % 2 = 0 THEN 0.75::DOUBLE END AS ymax, CASE WHEN l_linenumber % 2 = 1 THEN trunc(0.25 * 640)::INT END AS x0, CASE WHEN l_linenumber % 2 = 1 THEN trunc(0.75 * 481)::INT END AS y1 FROM lineitem WHERE l_orderkey % 10 = 0"
+
+
+def decoded(lines):
+    """Each lineitem's box as an annotation of its order."""
     notes = lines.select(F.col("l_orderkey").alias("rid"), F.col("l_linenumber").alias("annot_id"), F.lit("x").alias("label"), F.when(F.col("l_linenumber") % 2 == 0, "object").otherwise("line").alias("kind"), F.array(*[F.lit(v) for v in (0.25, 0.5, 0.5, 0.75)]).alias("values"))
     items = lines.select(F.col("l_orderkey").alias("rid"), F.lit(640).alias("width"), F.lit(481).alias("height")).distinct()
     out = versions.boxes(items, notes, "rid")
     return out.select("rid", "annot_id", "xmin", "ymax", F.get("points", F.lit(0))["x"].alias("x0"), F.get("points", F.lit(1))["y"].alias("y1"))
 
 
-@query("SELECT event_id, user_id, value AS score, date_trunc('second', ts) AS stamp FROM events WHERE user_id % 5 = 0")
-def predictions_with_stamps(spark, sf):
-    events = read(spark, sf, "events").filter("user_id % 5 = 0")
+@query(DECODED)
+def decode_annotations(spark, sf):
+    return decoded(read(spark, sf, "lineitem").filter("l_orderkey % 10 = 0"))
+
+
+@query(DECODED.removesuffix(" WHERE l_orderkey % 10 = 0"))
+def decode_annotations_whole(spark, sf):
+    return decoded(read(spark, sf, "lineitem"))
+
+
+STAMPED = "SELECT event_id, user_id, value AS score, date_trunc('second', ts) AS stamp FROM events WHERE user_id % 5 = 0"
+
+
+def stamped(events):
+    """Events as predictions for themselves, with the times that their file names give."""
     found = events.select("event_id", F.col("value").alias("score"), F.date_format("ts", "yyyyMMdd_HHmmss_000000").alias("stamp"))
     return versions.predictions_of(events.select("event_id", "user_id"), found, "event_id").withColumn("stamp", F.col("stamp").cast("timestamp_ntz"))
 
 
+@query(STAMPED)
+def predictions_with_stamps(spark, sf):
+    return stamped(read(spark, sf, "events").filter("user_id % 5 = 0"))
+
+
+@query(STAMPED.removesuffix(" WHERE user_id % 5 = 0"))
+def predictions_with_stamps_whole(spark, sf):
+    return stamped(read(spark, sf, "events"))
+
+
 @query("SELECT count(*) AS images, count(*) FILTER (WHERE n IS NULL) AS without, coalesce(sum(o), 0)::BIGINT AS objects, coalesce(sum(n), 0) / count(*) AS per_image FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n, count(*) FILTER (WHERE l_returnflag = 'N') AS o FROM lineitem WHERE l_linenumber > 2 GROUP BY 1) ON l_orderkey = o_orderkey")
 def predict_profile(spark, sf):
     notes = read(spark, sf, "lineitem").filter("l_linenumber > 2").select(F.col("l_orderkey").alias("o_orderkey"), F.when(F.col("l_returnflag") == "N", "object").otherwise("line").alias("kind"))
@@ -146,12 +176,13 @@ def mean_fps_without_first(spark, sf):
     return evaluation.mean_fps(read(spark, sf, "events").withColumn("fps", F.col("value")), "event_id").select(F.round("fps", 6).alias("fps"))
 
 
-def boxes(spark, sf):
+def boxes(lines, after=None):
     """Truth and detections made from lineitems: shifted boxes with deterministic scores."""
-    lines = read(spark, sf, "lineitem").filter("l_orderkey % 20 = 0")
     x, y = (F.col("l_partkey") % 40).cast("double"), (F.col("l_suppkey") % 40).cast("double")
     box = lambda dx, dy: F.struct((x + dx).alias("xmin"), (y + dy).alias("ymin"), (x + dx + 20).alias("xmax"), (y + dy + 20).alias("ymax"))
-    keys = [F.col("l_orderkey").alias("item"), F.col("l_returnflag").alias("label"), (F.col("l_partkey") * 100000 + F.col("l_suppkey") * 10 + F.col("l_linenumber")).alias("box_id")]
+    number = F.col("l_partkey") * 100000 + F.col("l_suppkey") * 10 + F.col("l_linenumber")
+    box_id = number if after is None else number * 100000 + after
+    keys = [F.col("l_orderkey").alias("item"), F.col("l_returnflag").alias("label"), box_id.alias("box_id")]
     truth = lines.select(*keys, box(F.lit(0.0), F.lit(0.0)).alias("box"))
     shift = (F.col("l_linenumber") % 4).cast("double") * 2.5
     score = F.pmod(F.col("l_partkey") * 7919 + F.col("l_suppkey") * 104729, F.lit(1000)) / 1000.0
@@ -165,21 +196,48 @@ best AS (SELECT item, label, det, score, box_id, i / (800.0 - i) AS iou FROM pai
 hits AS (SELECT label, item, det, score, iou >= 0.5 AND row_number() OVER (PARTITION BY item, label, box_id, iou >= 0.5 ORDER BY score DESC, det) = 1 AS hit FROM best)"""
 
 
-@query(BOXES + " SELECT label, item, det, hit FROM hits")
+def some_lines(spark, sf):
+    """The lineitems that BOXES asks for."""
+    return read(spark, sf, "lineitem").filter("l_orderkey % 20 = 0")
+
+
+def all_boxes(spark, sf):
+    """Of all lineitems: two of them may differ in nothing but the dates after their number."""
+    return boxes(read(spark, sf, "lineitem"), F.unix_date(F.to_date("l_shipdate")))
+
+
+ALL_BOXES = BOXES.replace(" WHERE l_orderkey % 20 = 0", "").replace("l_partkey * 100000 + l_suppkey * 10 + l_linenumber AS id", "(l_partkey * 100000 + l_suppkey * 10 + l_linenumber) * 100000 + date_diff('day', DATE '1970-01-01', l_shipdate::DATE) AS id")
+HITS = " SELECT label, item, det, hit FROM hits"
+
+
+@query(BOXES + HITS)
 def detection_hits(spark, sf):
-    return evaluation.detections(*boxes(spark, sf), [0.5]).select("label", "item", "det", "hit")
+    return evaluation.detections(*boxes(some_lines(spark, sf)), [0.5]).select("label", "item", "det", "hit")
+
 
+@query(ALL_BOXES + HITS)
+def detection_hits_whole(spark, sf):
+    return evaluation.detections(*all_boxes(spark, sf), [0.5]).select("label", "item", "det", "hit")
 
-@query(BOXES + """, curve AS (SELECT label, sum(hit::INT) OVER w AS tp, sum(hit::INT) OVER w / count(*) OVER w AS p FROM hits WINDOW w AS (PARTITION BY label ORDER BY score DESC, item, det ROWS UNBOUNDED PRECEDING)),
+
+AVERAGE_PRECISION = """, curve AS (SELECT label, sum(hit::INT) OVER w AS tp, sum(hit::INT) OVER w / count(*) OVER w AS p FROM hits WINDOW w AS (PARTITION BY label ORDER BY score DESC, item, det ROWS UNBOUNDED PRECEDING)),
 steps AS (SELECT label, tp, max(p) AS p FROM curve WHERE tp > 0 GROUP BY label, tp), tops AS (SELECT label, max(p) OVER (PARTITION BY label ORDER BY tp DESC) AS best FROM steps), n AS (SELECT label, count(*) AS n FROM l GROUP BY label)
-SELECT 0.5::DOUBLE AS threshold, label, round(sum(best / n), 8) AS ap FROM tops JOIN n USING (label) GROUP BY label""")
+SELECT 0.5::DOUBLE AS threshold, label, round(sum(best / n), 8) AS ap FROM tops JOIN n USING (label) GROUP BY label"""
+
+
+@query(BOXES + AVERAGE_PRECISION)
 def average_precision(spark, sf):
-    return evaluation.average_precision(*boxes(spark, sf), [0.5]).select("threshold", "label", F.round("ap", 8).alias("ap"))
+    return evaluation.average_precision(*boxes(some_lines(spark, sf)), [0.5]).select("threshold", "label", F.round("ap", 8).alias("ap"))
+
+
+@query(ALL_BOXES + AVERAGE_PRECISION)
+def average_precision_whole(spark, sf):
+    return evaluation.average_precision(*all_boxes(spark, sf), [0.5]).select("threshold", "label", F.round("ap", 8).alias("ap"))
 
 
 @query()
 def mean_average_precision(spark, sf):
-    return evaluation.mean_average_precision(*boxes(spark, sf))
+    return evaluation.mean_average_precision(*all_boxes(spark, sf))
 
 
 @query("SELECT CASE WHEN hour(ts) BETWEEN 5 AND 19 THEN 'daytime' ELSE 'nighttime' END AS part, count(*) AS n FROM events GROUP BY 1")
@@ -281,6 +339,12 @@ def lineage_set_properties(spark, sf):
     return h.select("Training_Version").filter(F.substring("id", 2, 9).cast("int") < 10).select("id", F.col("props")["epochs"].alias("epochs"))
 
 
+@query("SELECT 't' || s_suppkey AS id, CASE WHEN s_suppkey = 5 THEN '12' END AS epochs FROM supplier")
+def lineage_set_properties_whole(spark, sf):
+    h = history(spark, sf).set_props(F.col("id") == "t5", {"epochs": "12"})
+    return h.select("Training_Version").select("id", F.col("props")["epochs"].alias("epochs"))
+
+
 @query("SELECT 'DATA_TRAINING' AS type, count(*) AS n FROM supplier WHERE s_nationkey <> 3 UNION ALL SELECT 'MODEL_TRAINING', count(*) FROM supplier UNION ALL SELECT 'DEPLOY', count(*) FROM supplier WHERE s_suppkey % 2 = 0")
 def lineage_detach_delete(spark, sf):
     h = history(spark, sf)
