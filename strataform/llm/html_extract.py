@@ -9,8 +9,12 @@ holds most of the content's characters is the article; its text is returned, hea
 short paragraphs included, whatever their own path's score.
 
 Menus, page headers, footers, sidebars, notices, adverts, forms, scripts, styles and
-reader comments are left out before, by their tags, roles and the words of their class or
-id; lists of mere links on low paths are left out after.
+reader comments are left out before, by their tags and roles, and by the first or last
+word of a class or id. Such a word never tells of a heading, and an element with one stays
+if it holds the page's main heading or nearly all its text. If the word may as well name a
+part of an article (UNSURE, or a last word), the element also stays in an article if its
+path's score is a content path's, and elsewhere if it is a paragraph, table or the like on
+a content path. Lists of mere links on low paths are left out after.
 """
 
 from __future__ import annotations
@@ -30,7 +34,7 @@ from .shared import table
 BLOCKS = set("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 RAW = set("script style textarea title noscript iframe template xmp noembed noframes".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-LEFT_OUT = set("head nav footer aside form script style noscript template iframe textarea title button select option input object svg canvas dialog menu audio video map math".split())
+LEFT_OUT = set("head nav footer aside form script style noscript template iframe textarea title button select option input object svg canvas dialog menu audio video map".split())
 ROLES = set("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar tablist".split())
 WORDS = set(
     "ad ads adv advert adverts advertisement advertisements advertising adsense adslot sponsor sponsored sponsors promo promos promoted promotion banner "
@@ -39,6 +43,11 @@ WORDS = set(
     "subscribe subscription signup login search form comment comments commentlist disqus reply replies respond discussion feedback widget widgets "
     "pagination pager skip copyright legal disclaimer".split()
 )
+UNSURE = set("notice notices alert related recommended recommendations copyright legal disclaimer form header menu search login discussion feedback reply replies respond response follow banner promotion subscription notification overlay aside".split())
+COMMENTS = set("comment comments commentlist disqus reply replies respond discussion".split())
+NEGATED = set("no not with without has have hide hides hidden".split())
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
+TEXTS = set("p pre blockquote table li dd td".split())
 SMOOTH = [math.exp(-0.5 * k * k) for k in (-2, -1, 0, 1, 2)]
 SHARE = 0.5
 MOST = 0.8
@@ -51,10 +60,13 @@ _SPACE = re.compile(r"\s+")
 
 
 class Element:
-    __slots__ = ("tag", "parent", "out", "path", "depth", "link", "chars")
+    __slots__ = ("tag", "parent", "out", "path", "depth", "link", "chars", "word", "inside", "marks", "head")
 
-    def __init__(self, tag, parent, out):
+    def __init__(self, tag, parent, out, word=None, inside=False):
         self.tag, self.parent, self.out, self.chars = tag, parent, out, 0
+        self.word, self.inside, self.head = word, inside, False
+        above = parent.marks if parent else ()
+        self.marks = (*above, self) if word else above  # the elements around with a word of WORDS
         self.depth = parent.depth + 1 if parent else 0
         self.link = tag == "a" or bool(parent and parent.link)
         kept = tag in BLOCKS or tag == "a"
@@ -72,15 +84,35 @@ def left_out(tag: str, attributes: str, inside_article: bool) -> bool:
             return True
         if name == "role" and value.lower() in ROLES:
             return True
-        if name in ("class", "id") and tag != "article":
-            found = {w.lower() for w in _SPLIT.findall(value)}
-            if found & WORDS and not (inside_article and found & WORDS == {"header"}):
-                return True
-        if name in ("class", "id") and tag == "article" and {w.lower() for w in _SPLIT.findall(value)} & {"comment", "comments", "ad", "advert", "sponsored", "related", "promo"}:
-            return True
     return False
 
 
+def told_by(tag: str, attributes: str, inside_article: bool) -> tuple[str, bool] | None:
+    """The word of a class or id that may tell that the element is left out, and whether
+    it is sure to."""
+    if not attributes or tag in ("html", "body", "main") or tag in HEADINGS:
+        return None
+    unsure = None
+    for name, value in _NAMES.findall(attributes):
+        if name.lower() not in ("class", "id"):
+            continue
+        for each in value.strip("\"'").split():
+            parts = [w.lower() for w in _SPLIT.findall(each)]
+            if not parts:
+                continue
+            if tag == "article":
+                if parts[0] in ("comment", "comments", "ad", "advert", "sponsored", "related", "promo"):
+                    return parts[0], True
+                continue
+            if parts[0] in WORDS and not (inside_article and parts[0] == "header"):
+                if parts[0] not in UNSURE:
+                    return parts[0], True
+                unsure = unsure or (parts[0], False)
+            elif parts[-1] in WORDS and not NEGATED & set(parts) and not (inside_article and parts[-1] == "header"):
+                unsure = unsure or (parts[-1], False)
+    return unsure
+
+
 def nodes(page: str) -> list[tuple[int, Element, str]]:
     """(block number, element, decoded text) of each text node that is not left out."""
     here = Element("", None, False)
@@ -128,7 +160,11 @@ def nodes(page: str) -> list[tuple[int, Element, str]]:
             if up.parent is not None and up.tag in closes:
                 here = up.parent
         if not (m[3] or m[6] or "").rstrip().endswith("/") or tag in BLOCKS or tag == "a":
-            here = Element(tag, here, here.out or left_out(tag, m[3] or m[6] or "", articles > 0))
+            attributes = m[3] or m[6] or ""
+            here = Element(tag, here, here.out or left_out(tag, attributes, articles > 0), told_by(tag, attributes, articles > 0), articles > 0)
+            if tag in ("h1", "main") and not here.out:
+                for e in here.marks:
+                    e.head = True
             articles += tag in ("article", "main")
     text(len(page))
     return out
@@ -158,6 +194,45 @@ def path_scores(found: list[tuple[int, Element, str]]) -> dict[str, float]:
     return {p: sum(v) / len(v) for p, v in out.items()}
 
 
+def own_score(found: list[tuple[int, Element, str]]) -> float:
+    """The score of nodes by themselves, as one path's."""
+    parts = [(len(t.strip()), len(_MARKS.findall(t)), e.link) for _, e, t in found if t.strip()]
+    if not parts:
+        return 0.0
+    fused = sum(p[0] for p in parts) / len(parts) * math.log(2 + sum(p[1] for p in parts) / len(parts))
+    return fused * (0.25 if all(p[2] for p in parts) else 1)
+
+
+def content_of(scores: dict[str, float]) -> tuple[set[str], float]:
+    """The paths that hold the content, and the score that makes them."""
+    if not scores:
+        return set(), 0.0
+    mean = sum(scores.values()) / len(scores)
+    limit = min(SHARE * math.sqrt(sum((s - mean) ** 2 for s in scores.values()) / len(scores)), max(scores.values()))
+    return {p for p, s in scores.items() if s >= limit}, limit
+
+
+def without_told(found: list[tuple[int, Element, str]]) -> list[tuple[int, Element, str]]:
+    """The nodes without those of elements whose class or id tells that they are no content."""
+    told: dict[Element, list[tuple[int, Element, str]]] = {}
+    for node in found:
+        for e in node[1].marks:
+            told.setdefault(e, []).append(node)
+    if not told:
+        return found
+    size = lambda some: sum(len(t.strip()) for _, _, t in some)
+    total = size(found)
+    stays = {e for e, inner in told.items() if e.word[0] not in COMMENTS and (e.head or size(inner) > 0.8 * total)}
+    left = lambda: [n for n in found if all(e in stays for e in n[1].marks)]
+    content, limit = content_of(path_scores(left()))
+    for e, inner in told.items():
+        if e.word[1] or e in stays:
+            continue
+        if e.inside and own_score(inner) >= limit or e.tag in TEXTS and any(n[1].path in content for n in inner):
+            stays.add(e)
+    return left()
+
+
 def article_of(found: list[tuple[int, Element, str]], content: set[str]) -> Element | None:
     """The smallest element with most of the content's characters; the article or main
     element around it, or the parent that adds its heading, if there is one."""
@@ -201,13 +276,8 @@ def under(e: Element | None, top: Element) -> bool:
 
 def main_text(page: str | None) -> str:
     """The main text; empty for pages without text (null and empty ones included)."""
-    found = nodes(page or "")
-    scores = path_scores(found)
-    if not scores:
-        return ""
-    mean = sum(scores.values()) / len(scores)
-    limit = min(SHARE * math.sqrt(sum((s - mean) ** 2 for s in scores.values()) / len(scores)), max(scores.values()))
-    content = {p for p, s in scores.items() if s >= limit}
+    found = without_told(nodes(page or ""))
+    content, _ = content_of(path_scores(found))
     top = article_of(found, content)
     if top is None:
         return ""
