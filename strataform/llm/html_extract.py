@@ -234,8 +234,8 @@ def without_told(found: list[tuple[int, Element, str]]) -> list[tuple[int, Eleme
 
 
 def article_of(found: list[tuple[int, Element, str]], content: set[str]) -> Element | None:
-    """The smallest element with most of the content's characters; the article or main
-    element around it, or the parent that adds its heading, if there is one."""
+    """The article or main element around most of the content's characters; without one,
+    the smallest element with all of them, or the parent that adds its heading."""
     total = 0
     touched: list[Element] = []
     for _, e, t in found:
@@ -260,6 +260,7 @@ def article_of(found: list[tuple[int, Element, str]], content: set[str]) -> Elem
         up = up.parent
     if named is not None:
         return named
+    best = max((e for e in touched if e.chars == total), key=lambda e: e.depth)
     while best.parent is not None and best.tag not in BLOCKS:
         best = best.parent
     parent = best.parent
