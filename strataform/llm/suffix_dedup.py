@@ -22,7 +22,9 @@ same text or in another. Texts are compared as UTF-8 bytes.
 
 A text is told from others by its 64-bit hash and its size, a run by two 64-bit hashes.
 A bucket of more than LARGE bytes (very many texts that share a passage and go on
-differently) is not sorted: its windows' 64-bit hashes are counted instead.
+differently) is not sorted, nor gathered: its windows become rows, dealt by their 64-bit
+hashes, which are counted and joined back. Only buckets whose first hash has windows enough
+are measured for that.
 """
 
 from __future__ import annotations
@@ -235,22 +237,17 @@ SPANS = "key long, size int, a array<int>, b array<int>"
 
 
 def mark_shards(match: int):
-    """REFINED rows, a bucket's rows together, to the repeated SPANS of those found once."""
-
-    def counted(snippets: list[bytes]) -> list[np.ndarray]:
-        hashes = [np.fromiter((xxhash.xxh3_64_intdigest(s[i : i + match]) for i in range(len(s) - match + 1)), np.uint64, len(s) - match + 1) for s in snippets]
-        values, counts = np.unique(np.concatenate(hashes), return_counts=True)
-        twice = values[counts > 1]
-        return [np.isin(h, twice) for h in hashes]
+    """REFINED rows, a bucket's rows together, to the repeated SPANS of those found once.
+    No bucket has more than LARGE bytes."""
 
     def mark(batches):
         ready: list[tuple] = []  # buckets with company
         bucket: list[tuple] = []
         held = 0
 
-        def settle(rows, find):
+        def settle(rows):
             out = []
-            for (_, key, size, lo, n, _), marks in zip(rows, find([r[5] for r in rows])):
+            for (_, key, size, lo, n, _), marks in zip(rows, repeated_windows([r[5] for r in rows], match)):
                 if n == 1 and marks.any():
                     edge = np.diff(np.concatenate([[0], marks.view(np.int8), [0]]))
                     out.append((key, size, (lo + np.flatnonzero(edge == 1)).tolist(), (lo + np.flatnonzero(edge == -1) - 1 + match).tolist()))
@@ -261,14 +258,11 @@ def mark_shards(match: int):
             nonlocal ready, bucket, held
             size = sum(len(r[5]) for r in bucket)
             if len(bucket) > 1 and any(r[4] == 1 for r in bucket):
-                if size > LARGE:
-                    yield settle(bucket, counted)
-                else:
-                    ready += bucket
-                    held += size
+                ready += bucket
+                held += size
             bucket = []
             if held >= SHARD:
-                yield settle(ready, lambda snippets: repeated_windows(snippets, match))
+                yield settle(ready)
                 ready, held = [], 0
 
         for batch in batches:
@@ -278,11 +272,48 @@ def mark_shards(match: int):
                 bucket.append(row)
         yield from closed()
         if ready:
-            yield settle(ready, lambda snippets: repeated_windows(snippets, match))
+            yield settle(ready)
 
     return mark
 
 
+WINDOWS = "bucket long, window long, key long, size int, start int, n long"
+
+
+def windows_of(match: int):
+    """REFINED rows to WINDOWS, one for each window of their snippets."""
+
+    def spread(batches):
+        for batch in batches:
+            for bucket, key, size, lo, n, s in zip(*[c.to_pylist() for c in batch.columns]):
+                many = len(s) - match + 1
+                hashes = np.fromiter((xxhash.xxh3_64_intdigest(s[i : i + match]) for i in range(many)), np.uint64, many).view(np.int64)
+                same = [pa.array(np.full(many, v, t)) for v, t in ((bucket, np.int64), (key, np.int64), (size, np.int32), (n, np.int64))]
+                start = pa.array(np.arange(lo, lo + many, dtype=np.int32))
+                yield pa.RecordBatch.from_arrays([same[0], pa.array(hashes), same[1], same[2], start, same[3]], [f.split()[0] for f in WINDOWS.split(", ")])
+
+    return spread
+
+
+def large_buckets(perhaps: DataFrame) -> DataFrame:
+    """The buckets of REFINED rows with more than LARGE bytes: no more rows than the bytes
+    divided by LARGE."""
+    sizes = perhaps.groupBy("bucket").agg(F.sum(F.octet_length("snippet").cast("long")).alias("bytes"))
+    return sizes.filter(F.col("bytes") > LARGE).select("bucket")
+
+
+def marked(refined: DataFrame, perhaps: DataFrame, match: int) -> DataFrame:
+    """The repeated SPANS of the REFINED rows found once. perhaps: those of the buckets that
+    may be large."""
+    large = F.broadcast(large_buckets(perhaps))
+    small = refined.join(large, "bucket", "left_anti").select(*[f.split()[0] for f in REFINED.split(", ")])
+    sorted_in_tasks = small.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(mark_shards(match), SPANS)
+    windows = perhaps.join(large, "bucket").select(*[f.split()[0] for f in REFINED.split(", ")]).mapInArrow(windows_of(match), WINDOWS)
+    twice = windows.groupBy("bucket", "window").agg(F.count("*").alias("times")).filter("times > 1").select("bucket", "window")
+    counted = windows.filter("n = 1").join(twice, ["bucket", "window"])
+    return sorted_in_tasks.unionAll(counted.select("key", "size", F.array("start").alias("a"), F.array((F.col("start") + match).cast("int")).alias("b")))
+
+
 def merged(spans: list[tuple[int, int]]) -> list[list[int]]:
     out: list[list[int]] = []
     for a, b in sorted(spans):
@@ -321,20 +352,23 @@ def kept_bytes(docs: DataFrame, match: int = MATCH, gram: int = GRAM) -> DataFra
     runs = texts.mapInArrow(emit_runs(match, gram), RUNS)
     part = lambda k: F.coalesce(F.col("run")[k], F.lit(0))
     digest, times = part(0), part(5)
-    counts = runs.groupBy("hash").agg(F.sum(times).alias("total"), F.min(digest).alias("one"), F.max(digest).alias("other"))
-    counts = counts.filter("total > 1").select("hash", (F.col("one") != F.col("other")).alias("mixed"))
+    windows = part(4) - part(2).bitwiseAND(2**31 - 1) + 1
+    counts = runs.groupBy("hash").agg(F.sum(times).alias("total"), F.min(digest).alias("one"), F.max(digest).alias("other"), F.sum(windows).alias("windows"))
+    # 0: all runs are equal, 1: mixed, 2: mixed and with windows enough for more than LARGE
+    # bytes after the second cut; one column, again for the readers' sake
+    mix = F.when(F.col("one") == F.col("other"), 0).when(F.col("windows") * match <= LARGE, 1).otherwise(2)
+    counts = counts.filter("total > 1").select("hash", mix.alias("mix"))
     alive = runs.join(counts.hint("shuffle_hash"), "hash")
     size, lo = F.shiftright(part(2), 32).cast("int"), part(2).bitwiseAND(2**31 - 1).cast("int")
     span = [part(1).alias("key"), size.alias("size"), F.array(lo).alias("a"), F.array((part(3) + match).cast("int")).alias("b")]
-    mixed = alive.filter("mixed").withColumn("digest", digest)
-    kinds = mixed.groupBy("hash", "digest").agg(F.sum(times).alias("n"), F.min("run").alias("run"))
+    mixed = alive.filter("mix > 0").withColumn("digest", digest)
+    kinds = mixed.groupBy("hash", "digest").agg(F.sum(times).alias("n"), F.min("run").alias("run"), F.max("mix").alias("mix"))
     whole = mixed.join(kinds.filter("n > 1").select("hash", "digest"), ["hash", "digest"]).select(*span)
-    kinds = kinds.select("hash", "n", part(1).alias("key"), size.alias("size"), lo.alias("lo"), part(4).cast("int").alias("hi"))
+    kinds = kinds.select("hash", "n", part(1).alias("key"), size.alias("size"), lo.alias("lo"), part(4).cast("int").alias("hi"), "mix")
     pool = kinds.join(texts, ["key", "size"])
-    pool = pool.select(F.expr(f"substring(text, lo + 1, hi - lo + {match})").alias("snippet"), "hash", "key", "size", "lo", "n", "copies")
-    refined = pool.mapInArrow(refine(match, gram), REFINED)
-    marks = refined.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(mark_shards(match), SPANS)
-    spans = alive.filter(~F.col("mixed")).select(*span).unionAll(whole).unionAll(marks)
+    refined = lambda rows: rows.select(F.expr(f"substring(text, lo + 1, hi - lo + {match})").alias("snippet"), "hash", "key", "size", "lo", "n", "copies").mapInArrow(refine(match, gram), REFINED)
+    marks = marked(refined(pool), refined(pool.filter("mix = 2")), match)
+    spans = alive.filter("mix = 0").select(*span).unionAll(whole).unionAll(marks)
     by_text = spans.groupBy("key", "size").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
     joined = texts.join(by_text, ["key", "size"], "left").select("text", "key", "size", "copies", F.flatten("spans.a").alias("starts"), F.flatten("spans.b").alias("ends"))
     return joined.mapInArrow(cut_texts(match), KEPT)
