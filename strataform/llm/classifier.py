@@ -8,14 +8,15 @@ by backpropagation through the pooled positions.
 
 It is fitted on the driver on at most SAMPLE labelled rows and SAMPLE_BYTES of their
 texts, chosen by a hash of doc_id, from rows for which crc32(doc_id as text) mod 5 is not
-zero. Every text is scored whole, in Arrow batches on the executors.
+zero. Texts of more than LONGEST bytes come after all others, and one that does not fit
+into what is left of SAMPLE_BYTES is passed over. Every text is scored whole, in Arrow batches on the executors.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,6 +24,7 @@ from .shared import fresh, table
 
 SAMPLE = 4_000
 SAMPLE_BYTES = 24_000_000
+LONGEST = 240_000
 DIM, STRIDE, WIDTH, FILTERS, CHUNK = 8, 4, 8, 32, 512
 EPOCHS, BATCH, RATE = 10, 16, 0.004
 THRESHOLD = 0.3
@@ -116,7 +118,7 @@ def gradients(model: dict, texts: list[str], labels: np.ndarray) -> dict:
 
 
 def fit(texts: list[str], labels: np.ndarray, seed: int = 0) -> dict:
-    """Adam over EPOCHS; the same rows give the same model."""
+    """Adam over EPOCHS; the same rows give the same model, no rows one that always says 0.5."""
     rng = np.random.default_rng(seed)
     model = {
         "bytes": rng.normal(0, 0.5, (PADDING + 1, DIM)), "filters": rng.normal(0, (2 / (WIDTH * DIM)) ** 0.5, (WIDTH * DIM, FILTERS)),
@@ -124,6 +126,8 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 0) -> dict:
     }
     model = {k: v.astype(np.float32) for k, v in model.items()}
     model["bytes"][PADDING] = 0
+    if not texts:
+        model["out"][:] = 0
     mean = {k: np.zeros_like(v) for k, v in model.items()}
     square = {k: np.zeros_like(v) for k, v in model.items()}
     step = 0
@@ -144,20 +148,32 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
+def sampled(docs: DataFrame, labels: DataFrame, sample: int) -> list:
+    """Rows (doc_id, quality, text) to learn from, by doc_id. Of a repeated doc_id the
+    shortest text counts. The driver sees sizes first and then the texts that fit."""
+    rows = labels.select("doc_id", "quality").filter("doc_id is not null and quality is not null").filter(~held_out(F.col("doc_id")))
+    texts = docs.select("doc_id", "text", F.octet_length("text").cast("long").alias("n"), F.xxhash64("text").alias("told")).filter("text is not null")
+    one = texts.groupBy("doc_id").agg(F.min(F.struct("n", "told")).alias("one")).select("doc_id", "one.*")
+    order = [F.col("n") > LONGEST, F.xxhash64("doc_id"), F.col("doc_id"), F.col("quality")]
+    chosen, held = [], 0
+    for r in rows.join(one, "doc_id").orderBy(*order).limit(sample).select("doc_id", "quality", "n", "told").collect():
+        if held + r.n <= SAMPLE_BYTES:
+            held += r.n
+            chosen.append(tuple(r))
+    if not chosen:
+        return []
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    places = docs.sparkSession.createDataFrame(sorted({(i, n, told) for i, _, n, told in chosen}), f"doc_id {kind}, n long, told long")
+    found = texts.join(F.broadcast(places), ["doc_id", "n", "told"]).groupBy("doc_id").agg(F.min("text").alias("text"))
+    text_of = {r.doc_id: r.text for r in found.collect()}
+    return [Row(doc_id=i, quality=q, text=text_of[i]) for i, q, _, _ in sorted(chosen)]
+
+
 def learned(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
     """The model for docs, from a bounded sample of labels. Rows without a label or a
     text are not learned from; without any row the model gives 0.5 to every text."""
-    rows = labels.select("doc_id", "quality").filter("doc_id is not null and quality is not null").filter(~held_out(F.col("doc_id")))
-    chosen = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample)
-    found = docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(chosen), "doc_id").collect()  # sample rows at most, for unique doc_ids
-    texts, marks, held = [], [], 0
-    for row in sorted(found, key=lambda r: (r.doc_id, r.text, r.quality))[: 2 * sample]:
-        held += len(row.text)
-        if held > SAMPLE_BYTES:
-            break
-        texts.append(row.text)
-        marks.append(row.quality)
-    return fit(texts, np.array(marks, np.float32))
+    found = sampled(docs, labels, sample)
+    return fit([r.text for r in found], np.array([r.quality for r in found], np.float32))
 
 
 def scorer(model: dict):
