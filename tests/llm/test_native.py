@@ -89,15 +89,44 @@ def test_license_scan(spark):
             at = [i for i in range(len(w)) if w[i : i + len(phrase.split())] == phrase.split()]
             spots += at
             base |= {label} if at else set()
-        for line in (t or "").split("\n"):
-            for label, text in license_scan.TEMPLATES:
-                tokens = set(text.split())
-                both = len(tokens & set(words(line)))
-                if both >= license_scan.needed(len(tokens)):
+        lines, parts = (t or "").split("\n"), [[]]
+        for line in lines:
+            parts[-1].append(line)
+            if not words(line):
+                parts.append([])
+        pairs = [a + "\n" + b for a, b in zip(lines, lines[1:]) if not re.search("[.!?:;][\"')\\]]*[ \t\r]*\\Z", a)]
+        blocks = {license_scan.NOTICE: lines + pairs, license_scan.PASSAGE: ["\n".join(p) for p in parts]}
+        for label, kind, text, telling, without in license_scan.TEMPLATES:
+            tokens = set(words(text))
+            for block in blocks[kind]:
+                held = set(words(block))
+                if 10 * len(tokens & held) >= 8 * len(tokens) and set(telling.split()) <= held and not set(without.split()) & held:
                     more.add(label)
-                    best = max(best, both / len(tokens))
+                    best = max(best, len(tokens & held) / len(tokens))
         want.append((d, len(w), len(spots), min(spots, default=None), max(spots, default=None), ",".join(sorted(base)), ",".join(sorted(base | more)), 1.0 if spots else best))
     docs = spark.createDataFrame(data, DOCS)
     assert sorted([tuple(r) for r in license_scan.scan(docs).collect()], key=repr) == sorted(want, key=repr)
     assert license_scan.scan(docs.limit(0)).count() == 0
     assert any(w[-1] not in (0, 1) for w in want)
+
+
+LABELLED = [
+    ("Text.\nLicensed under CC BY-NC 4.0.", "cc-by,cc-by-nc"),
+    ("Licensed under CC BY-SA 4.0.\nMore", "cc-by,cc-by-sa"),
+    ("Licensed under CC BY-NC-SA 4.0", "cc-by,cc-by-nc-sa"),
+    ("Licensed under CC BY-NC 4.0.\nLicensed under CC BY-SA 4.0.", "cc-by,cc-by-nc,cc-by-sa"),
+    ("This work is licensed under the GNU General Public License, version 3.", "gpl,gpl-3.0"),
+    ("Licensed under the GNU Lesser General\nPublic License.", "gpl,lgpl"),
+    ("Some words\nLicensed under the Apache\nLicense, Version 2.0.\nand more", "apache-2.0"),
+    ("# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that the following conditions\n# are met:\n#\n# 1. Other", "bsd"),
+    (" * This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n * the Free Software Foundation, either version 3 of the License, or\n * (at your option) any later version.\n *\n * This", "gpl,gpl-3.0"),
+    ("Permission is hereby granted, free of charge, to any person\nobtaining a copy of this software and associated documentation\nfiles (the Software), to deal in the Software without\nrestriction, including without limitation the rights to use,\ncopy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, and to permit persons to whom the\nSoftware is furnished to do so", "mit"),
+    ("the general public may use the license, version 3, of this text", ""),
+    ("All rights reserved.", "reserved"),
+    ("free software", ""),
+]
+
+
+def test_licences_by_name(spark):
+    docs = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(LABELLED)], "doc_id long, text string")
+    assert {r.doc_id: r.labels for r in license_scan.scan(docs).collect()} == {k: labels for k, (_, labels) in enumerate(LABELLED)}
