@@ -1,8 +1,10 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from strataform.llm import decontaminate, license_scan, quality_rules
 
@@ -56,30 +58,61 @@ def test_decontamination(spark, monkeypatch, bound):
     assert decontaminate.contamination(docs.limit(0), benchmark).count() == 0
 
 
-def test_quality_rules(spark):
-    data, _ = rows()
+def brute_measures(data):
     want = []
     for d, t, s, *_ in data:
         w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
         tri = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
-        rep = {j for i, x in enumerate(tri) if tri.count(x) > 1 for j in (i, i + 1, i + 2)}
+        seen = Counter(tri)
+        rep = {j for i, x in enumerate(tri) if seen[x] > 1 for j in (i, i + 1, i + 2)}
         lines = [x for x in (t or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
         failed = len(w) < 50 or 100 * len(rep) > 50 * len(w)
         want.append((d, s, len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t or "")), len(lines) - len(set(lines)), len(rep), failed))
+    return want
+
+
+def brute_verdicts(data):
+    """The rows that verdicts gives, and the hosts that it rejects."""
+    want = brute_measures(data)
     hosts = {}
     for r in want:
         hosts.setdefault(r[1], []).append(r[-1])
     rates = [sum(v) / len(v) for v in hosts.values()]
     m = sum(rates) / len(rates)
-    v = sum((x - m) ** 2 for x in rates) / (len(rates) - 1)
-    k = max(1, min(1000, (m * (1 - m) / v if v else 1001) - 1))
-    bad = {h for h, f in hosts.items() if (sum(f) + m * k) / (len(f) + k) > quality_rules.HOST_LIMIT}
-    want = sorted([(r[0], *r[2:], not r[-1] and r[1] not in bad) for r in want], key=repr)
+    v = (sum((x - m) ** 2 for x in rates) / (len(rates) - 1) if len(rates) > 1 else 0) - sum(x * (1 - x) / len(f) for x, f in zip(rates, hosts.values())) / len(rates)
+    k = max(1, min(1000, m * (1 - m) / v - 1)) if v > 0 else 1000
+    bad = set()
+    for h, f in hosts.items():
+        r = (sum(f) + m * k) / (len(f) + k)
+        if r - 1.96 * (r * (1 - r) / (len(f) + k + 1)) ** 0.5 > 3 * m / (1 - m + 3 * m):
+            bad.add(h)
+    return sorted([(r[0], *r[2:], not r[-1] and r[1] not in bad) for r in want], key=repr), bad
+
+
+def test_quality_rules(spark):
+    data, _ = rows()
     docs = spark.createDataFrame(data, DOCS)
-    assert sorted([tuple(r) for r in quality_rules.verdicts(docs).collect()], key=repr) == want
+    assert sorted([tuple(r) for r in quality_rules.verdicts(docs).collect()], key=repr) == brute_verdicts(data)[0]
     assert quality_rules.verdicts(docs.limit(0)).count() == 0 and quality_rules.verdicts(docs.drop("source")).count() == len(data)
 
 
+def test_bad_hosts_are_rejected(spark):
+    good = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    data = [(k, good(k) if k % 10 else "short", f"host{k % 12}", "r", "f") for k in range(1200)]
+    data += [(5000 + k, good(k) if k % 3 == 0 else "short", "bad", "r", "f") for k in range(120)]
+    data += [(6000 + k, "short", "few", "r", "f") for k in range(2)] + [(7000, "short", None, "r", "f")]
+    want, bad = brute_verdicts(data)
+    got = sorted([tuple(r) for r in quality_rules.verdicts(spark.createDataFrame(data, DOCS)).collect()], key=repr)
+    assert got == want and bad == {"bad"} and sum(not r[-1] and not r[-2] for r in got) == 40
+
+
+def test_windows_with_equal_hash_bits_are_told_apart(spark, monkeypatch):
+    monkeypatch.setattr(quality_rules, "_hash", lambda a, b, c: F.call_function("shiftleft", F.pmod(F.xxhash64(a, b, c), F.lit(5)), F.lit(40)))
+    data, _ = rows()
+    got = sorted([(r.doc_id, r.n_repeat_words) for r in quality_rules.measured(spark.createDataFrame(data, DOCS)).collect()], key=repr)
+    assert got == sorted([(r[0], r[6]) for r in brute_measures(data)], key=repr) and any(n for _, n in got)
+
+
 def test_license_scan(spark):
     data, _ = rows()
     want = []
