@@ -2,26 +2,32 @@ r"""Benchmark decontamination by a broadcast hash set of test n-grams. Built-in
 
 Words are `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+` after lower-casing A-Z. A window is WINDOW
 consecutive words of a benchmark item; an item with fewer words, but not none, is one
-window. Each window's first ANCHOR words (fewer if it is shorter) are hashed. The scan of
-a text hashes the words at each position and looks the hash up in the set of anchors;
-only where it is found is the window spelt out and verified against the set of windows.
-
-The sets travel with the plan, so they have a bound: a benchmark of up to BOUND distinct
-windows goes this way. Beyond it the scan emits the anchor hashes of all positions and
-the sets are joined as tables; the results are the same.
+window. The hashes of all windows, and of each window's first ANCHOR words (fewer if it is
+shorter), are set as bits in one array, which goes to every task as a constant of the
+scan: 64 bits a window, and never more than MOST_BITS (8 MB), whatever the benchmark's size.
+
+The scan of a text hashes the words at each position. Where the anchor's bit is set, the
+window is spelt out and hashed; where both of its bits are set as well, it is a candidate.
+Candidates are few besides the real hits. Only they leave the row: they are joined with the
+benchmark's windows on their text, which verifies them. There is one way for a benchmark of
+any size; one that fills the bits has more candidates, and the same results.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import ascii_lower, barrier, fresh, table, written
+from .shared import ascii_lower, barrier, fresh, shared_dir, table, written
 
 WINDOW = 10
 ANCHOR = 4
-#: Distinct windows up to which the sets are sent with the plan.
-BOUND = 100_000
+#: Bits of the array for each window, and at most.
+BITS, MOST_BITS = 64, 1 << 26
+#: Bytes of windows and item ids up to which they are broadcast for the verification.
+BROADCAST = 16 << 20
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -46,27 +52,48 @@ def windows(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     return spread.select("item_id", "size", F.array_join(F.slice("found", F.col("at") + 1, F.col("size")), " ").alias("window"), F.least("size", F.lit(ANCHOR)).alias("anchor_size"), anchor.alias("anchor")).distinct()
 
 
-def _positions(n, size: int):
-    return F.when(n >= size, F.sequence(F.lit(0), n - size)).otherwise(F.array().cast("array<int>"))
+def _hashed(window, size):
+    return F.xxhash64(size, window)
 
 
-def hit_arrays(benchmark: DataFrame, size: int = WINDOW):
-    """By window size, a function of (words, n) that gives the positions of verified
-    windows. None if the benchmark is too large to send."""
-    known = windows(benchmark, size)
-    found = known.select("size", "window", "anchor_size", "anchor").distinct().limit(BOUND + 1).collect()
-    if len(found) > BOUND:
-        return None
-    out = {}
-    for length in sorted({r["size"] for r in found}):
-        own = [r for r in found if r["size"] == length]
-        anchors, texts, short = sorted({r.anchor for r in own}), sorted(r.window for r in own), min(length, ANCHOR)
+def _places(h, bits: int):
+    """The two bits of a window's hash."""
+    return [h.bitwiseAND(bits - 1), F.shiftrightunsigned(h, 32).bitwiseAND(bits - 1)]
+
+
+def ngram_bits(known: DataFrame, bits: int) -> dict[int, int]:
+    """The words (64 bits each) of the bit array that are not zero: at most bits / 64 rows
+    come to the driver."""
+    spots = F.array(F.col("anchor").bitwiseAND(bits - 1), *_places(_hashed(F.col("window"), F.col("size")), bits))
+    set_bits = known.select(F.explode(spots).alias("spot"))
+    word = F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("spot").bitwiseAND(63).cast("int")))
+    return {r.word: r["set"] for r in set_bits.groupBy(F.shiftright("spot", 6).alias("word")).agg(word.alias("set")).collect()}
+
+
+def candidates(known: DataFrame, found, n):
+    """An expression over a text's words and their number: the (at, size, window) whose
+    bits are set. Empty without windows."""
+    none = F.array().cast("array<struct<at:int,size:int,window:string>>")
+    sizes = {r["size"]: r["count"] for r in known.groupBy("size").count().collect()}  # at most WINDOW rows
+    if not sizes:
+        return none
+    bits = min(MOST_BITS, 1 << (BITS * sum(sizes.values())).bit_length())
+    words_set = ngram_bits(known, bits)
+    # one text constant, which the optimizer turns into an array once
+    array = F.split(F.lit(",".join(str(words_set.get(k, 0)) for k in range(bits // 64))), ",").cast("array<bigint>")
 
-        def hits(found_words, n, length=length, anchors=anchors, texts=texts, short=short):
-            return F.filter(_positions(n, length), lambda i: _anchor(found_words, i, short).isin(anchors) & _window(found_words, i, length).isin(texts))
+    def is_set(spot):
+        return F.call_function("shiftright", F.get(array, F.shiftright(spot, 6).cast("int")), spot.bitwiseAND(63).cast("int")).bitwiseAND(1) == 1
 
-        out[length] = hits
-    return out
+    def at_size(size: int):
+        short = min(size, ANCHOR)
+        positions = F.when(n >= size, F.sequence(F.lit(0), n - size)).otherwise(F.array().cast("array<int>"))
+        # a lambda over one element keeps its hash from being computed for each use
+        near = F.filter(positions, lambda i: F.exists(F.array(_anchor(found, i, short).bitwiseAND(bits - 1)), is_set))
+        spelt = F.transform(near, lambda i: F.struct(i.alias("at"), F.lit(size).alias("size"), _window(found, i, size).alias("window")))
+        return F.filter(spelt, lambda w: F.exists(F.array(_hashed(w["window"], w["size"])), lambda h: is_set(_places(h, bits)[0]) & is_set(_places(h, bits)[1])))
+
+    return F.concat(none, *[at_size(size) for size in sorted(sizes)])
 
 
 def _covered(hits):
@@ -74,28 +101,14 @@ def _covered(hits):
     return F.size(F.array_distinct(F.flatten(F.transform(hits, lambda h: F.sequence(h["at"], h["at"] + h["size"] - 1)))))
 
 
-def _scanned(docs: DataFrame, benchmark: DataFrame, size: int) -> DataFrame:
-    """(row, doc_id, n_words, hits): hits are the verified (at, size, window)."""
-    rows = barrier(docs.select("doc_id", F.monotonically_increasing_id().alias("row"), words(F.col("text")).alias("found")), n=F.size("found"))
-    by_size = hit_arrays(benchmark, size)
-    if by_size is not None:
-        def spelt(length, hits):
-            return F.transform(hits(F.col("found"), F.col("n")), lambda i: F.struct(i.alias("at"), F.lit(length).alias("size"), _window(F.col("found"), i, length).alias("window")))
-
-        parts = [spelt(length, hits) for length, hits in by_size.items()]
-        none = F.array().cast("array<struct<at:int,size:int,window:string>>")
-        return rows.select("row", "doc_id", F.col("n").alias("n_words"), (F.concat(*parts) if parts else none).alias("hits"))
-    rows = written(rows, "words")  # read twice, and row numbers must stay the same
-    known = windows(benchmark, size)
-    sizes = [r["size"] for r in known.select("size").distinct().collect()]  # at most WINDOW of them
-    spread = rows.select("row", "found", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("at")) if sizes else rows.limit(0).withColumn("at", F.lit(0))
-    anchors = F.array(*[F.struct(F.lit(k).alias("anchor_size"), _anchor(F.col("found"), F.col("at"), k).alias("anchor")) for k in sorted({min(s, ANCHOR) for s in sizes})])
-    spread = spread.filter("n > 0").select("row", "at", "n", F.inline(anchors), F.slice("found", F.col("at") + 1, size).alias("next"))
-    some = known.select("anchor_size", "anchor", "size", "window").distinct()
-    hits = spread.join(some, ["anchor_size", "anchor"]).filter((F.col("at") + F.col("size") <= F.col("n")) & (F.array_join(F.slice("next", 1, F.col("size")), " ") == F.col("window")))
-    hits = hits.groupBy("row").agg(F.collect_set(F.struct("at", "size", "window")).alias("hits"))
-    left = rows.select("row", "doc_id", F.col("n").alias("n_words")).join(hits, "row", "left")
-    return left.withColumn("hits", F.coalesce("hits", F.array().cast("array<struct<at:int,size:int,window:string>>")))
+def verified(scanned: DataFrame, known: DataFrame) -> DataFrame:
+    """(row, hits, ids) for the rows of scanned (row, near) with a real hit. near: the
+    candidates. known is broadcast if its size, which is checked, allows it."""
+    named = known.groupBy("window").agg(F.collect_set("item_id").alias("ids"))
+    size = named.agg(F.sum(F.octet_length("window") + 16 + 24 * F.size("ids")).alias("size")).first()["size"]
+    named = F.broadcast(named) if (size or 0) <= BROADCAST else named
+    spread = scanned.filter(F.size("near") > 0).select("row", F.inline("near"))
+    return spread.join(named, "window").groupBy("row").agg(F.collect_set(F.struct("at", "size")).alias("hits"), F.array_distinct(F.flatten(F.collect_set("ids"))).alias("ids"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
@@ -105,34 +118,34 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) ->
     null or empty text has no words; repeated rows are all returned; items without an id
     hit words but are not listed; without benchmark rows nothing is hit."""
     known = windows(benchmark, size)
-    scanned = _scanned(docs, benchmark, size)
-    spread = scanned.select("row", "doc_id", "n_words", _covered(F.col("hits")).alias("n_hit"), F.explode_outer(F.array_distinct(F.transform("hits", lambda h: h["window"]))).alias("window"))
-    named = known.groupBy("window").agg(F.collect_set("item_id").alias("ids"))
-    if named.limit(BOUND + 1).count() <= BOUND:
-        named = F.broadcast(named)
-    joined = spread.join(named, "window", "left")
-    each = joined.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.first("n_hit").alias("n_hit"), F.array_distinct(F.flatten(F.collect_set("ids"))).alias("ids"))
-    texts = F.sort_array(F.transform("ids", lambda i: i.cast("string")))
+    found = barrier(docs.select("doc_id", words(F.col("text")).alias("found")), n=F.size("found"))
+    rows = found.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.col("n").alias("n_words"), candidates(known, F.col("found"), F.col("n")).alias("near"))
+    rows = written(rows, "scanned")  # read twice, and row numbers must stay the same
+    each = rows.drop("near").join(verified(rows, known), "row", "left")
+    texts = F.sort_array(F.transform(F.coalesce("ids", F.array()), lambda i: i.cast("string")))
+    n_hit = F.coalesce(_covered(F.col("hits")), F.lit(0))
     return each.select(
-        "doc_id", F.col("n_words").cast("long").alias("n_words"), F.col("n_hit").cast("long").alias("n_hit"), F.size("ids").cast("long").alias("n_items"),
-        F.sha2(F.array_join(texts, ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+        "doc_id", F.col("n_words").cast("long").alias("n_words"), n_hit.cast("long").alias("n_hit"), F.size(texts).cast("long").alias("n_items"),
+        F.sha2(F.array_join(texts, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
     )
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
-    """docs without the rows that any benchmark window occurs in, with their own columns."""
-    by_size = hit_arrays(benchmark, size)
-    if by_size is not None:
-        mark, count = fresh(docs, "found"), fresh(docs, "n")
-        rows = barrier(docs.withColumn(mark, words(F.col("text"))), **{count: F.size(mark)})
-        for hits in by_size.values():
-            rows = rows.filter(F.size(hits(F.col(mark), F.col(count))) == 0)
-        return rows.select(*docs.columns)
-    mark = fresh(docs, "key")
-    key = F.struct(F.xxhash64("doc_id", "text"), F.md5("text"))
-    hit = contamination(docs.select(F.coalesce(key.cast("string"), F.lit("")).alias("doc_id"), "text"), benchmark, size).filter("contaminated")
-    rows = docs.withColumn(mark, F.coalesce(key.cast("string"), F.lit("")))
-    return rows.join(hit, rows[mark] == hit["doc_id"], "left_anti").drop(mark)
+    """docs without the rows that any benchmark window occurs in, with their own columns.
+
+    The scan writes the rows without candidates apart from those with some, so that only
+    the latter, which are few, are verified and joined."""
+    known = windows(benchmark, size)
+    mark, count, row, near, doubt = (fresh(docs, c) for c in ("found", "n", "row", "near", "doubt"))
+    rows = barrier(docs.withColumn(mark, words(F.col("text"))), **{count: F.size(mark)})
+    rows = rows.withColumns({row: F.monotonically_increasing_id(), near: candidates(known, F.col(mark), F.col(count))}).drop(mark, count)
+    rows = rows.withColumn(doubt, (F.size(near) > 0).cast("int"))
+    path = f"{shared_dir(docs.sparkSession)}/doubts-{uuid.uuid4().hex}"
+    rows.write.partitionBy(doubt).parquet(path)
+    rows = docs.sparkSession.read.schema(rows.schema).parquet(path)
+    doubtful = rows.filter(F.col(doubt) == 1)
+    hit = verified(doubtful.select(F.col(row).alias("row"), F.col(near).alias("near")), known).select(F.col("row").alias(row))
+    return rows.filter(F.col(doubt) == 0).select(*docs.columns).unionAll(doubtful.join(hit, row, "left_anti").select(*docs.columns))
 
 
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -44,9 +44,10 @@ def brute_hits(text, items):
     return len(w), len(hit), len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest(), bool(hit)
 
 
-@pytest.mark.parametrize("bound", [100_000, 3])
-def test_decontamination(spark, monkeypatch, bound):
-    monkeypatch.setattr(decontaminate, "BOUND", bound)
+@pytest.mark.parametrize("most,broadcast", [(1 << 26, 16 << 20), (64, 0)])
+def test_decontamination(spark, monkeypatch, most, broadcast):
+    monkeypatch.setattr(decontaminate, "MOST_BITS", most)
+    monkeypatch.setattr(decontaminate, "BROADCAST", broadcast)
     data, items = rows()
     docs, benchmark = spark.createDataFrame(data, DOCS), spark.createDataFrame(items, "item_id long, text string")
     want = sorted([(d, *brute_hits(t, items)) for d, t, *_ in data], key=repr)
@@ -58,6 +59,16 @@ def test_decontamination(spark, monkeypatch, bound):
     assert decontaminate.contamination(docs.limit(0), benchmark).count() == 0
 
 
+def test_large_benchmark_is_scanned_the_same_way(spark):
+    rng = random.Random(9)
+    items = [(k, " ".join(f"w{rng.randrange(5000)}" for _ in range(609))) for k in range(500)]  # 300,000 windows
+    data = [(k, " ".join(f"w{rng.randrange(5000)}" for _ in range(300)) + (" " + " ".join(items[k][1].split()[50:70]) if k % 5 == 0 else ""), "s", "r", "f") for k in range(200)]
+    docs, benchmark = spark.createDataFrame(data, DOCS), spark.createDataFrame(items, "item_id long, text string")
+    got = {r.doc_id: (r.n_hit, r.n_items) for r in decontaminate.contamination(docs, benchmark).collect()}
+    assert got == {k: (20, 1) if k % 5 == 0 else (0, 0) for k in range(200)}
+    assert {r.doc_id for r in decontaminate.keep_clean(docs, benchmark).collect()} == {k for k in range(200) if k % 5}
+
+
 def brute_measures(data):
     want = []
     for d, t, s, *_ in data:
