@@ -9,7 +9,8 @@ by backpropagation through the pooled positions.
 It is fitted on the driver on at most SAMPLE labelled rows and SAMPLE_BYTES of their
 texts, chosen by a hash of doc_id, from rows for which crc32(doc_id as text) mod 5 is not
 zero. Texts of more than LONGEST bytes come after all others, and one that does not fit
-into what is left of SAMPLE_BYTES is passed over. Every text is scored whole, in Arrow batches on the executors.
+into what is left of SAMPLE_BYTES is passed over. Every text is scored whole, in Arrow batches
+on the executors, SLAB bytes at a time.
 """
 
 from __future__ import annotations
@@ -29,13 +30,14 @@ DIM, STRIDE, WIDTH, FILTERS, CHUNK = 8, 4, 8, 32, 512
 EPOCHS, BATCH, RATE = 10, 16, 0.004
 THRESHOLD = 0.3
 PADDING = 256
+#: Bytes that are scored at a time: a multiple of CHUNK.
+SLAB = 1 << 18
 PER = CHUNK // STRIDE
 
 
-def padded(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of texts, each filled up to whole chunks (one at least), and the first
+def padded(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of each text or part, filled up to whole chunks (one at least), and the first
     chunk of each."""
-    raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
     chunks = np.array([max(1, -(-len(r) // CHUNK)) for r in raw])
     starts = np.concatenate([[0], np.cumsum(chunks)[:-1]]).astype(np.int64)
     out = np.full(int(chunks.sum()) * CHUNK, PADDING, np.int16)
@@ -73,27 +75,61 @@ def probability(model: dict, seen: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(seen @ model["out"] + model["bias"], -30, 30)))
 
 
+def pieces(text: str | None):
+    """A text's bytes in parts of SLAB, each with the STRIDE bytes that follow it; one empty
+    part for no text. A long text is encoded part for part."""
+    held = b""
+    for at in range(0, len(text or ""), SLAB):
+        held += text[at : at + SLAB].encode("utf-8", "surrogatepass")
+        while len(held) > SLAB + STRIDE:
+            yield held[:SLAB], held[SLAB : SLAB + STRIDE]
+            held = held[SLAB:]
+    yield held, b""
+
+
+def pooled_parts(model: dict, parts: list[bytes], nexts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each part the number of its chunks, and the sum and the maximum of their pooled values."""
+    symbols, starts = padded(parts)
+    blocks = model["bytes"][symbols].reshape(-1, STRIDE * DIM)
+    follow = np.full((len(parts), STRIDE), PADDING, np.int16)
+    for k, n in enumerate(nexts):
+        follow[k, : len(n)] = np.frombuffer(n, np.uint8)
+    after = shifted(blocks, starts, model["bytes"][follow].reshape(-1, STRIDE * DIM))
+    half = STRIDE * DIM
+    seen = (blocks @ model["filters"][:half] + after @ model["filters"][half:]).reshape(-1, PER, FILTERS).max(1)
+    pooled = np.maximum(seen + model["shift"], 0)
+    return np.diff(np.append(starts, len(pooled))), np.add.reduceat(pooled, starts, dtype=float), np.maximum.reduceat(pooled, starts)
+
+
 def score(model: dict, texts: list[str | None]) -> np.ndarray:
-    """Probabilities of label 1; batches of texts bound the memory."""
-    out, batch, held, parts = [], [], 0, []
-    for t in texts:
-        batch.append(t)
-        held += len(t or "")
-        if held > 500_000:
-            parts.append(batch)
-            batch, held = [], 0
-    for part in [*parts, batch] if batch else parts:
-        symbols, starts = padded(part)
-        blocks = model["bytes"][symbols].reshape(-1, STRIDE * DIM)
-        after = shifted(blocks, starts, np.tile(model["bytes"][PADDING], STRIDE))
-        half = STRIDE * DIM
-        seen = (blocks @ model["filters"][:half] + after @ model["filters"][half:]).reshape(-1, PER, FILTERS).max(1)
-        out.append(probability(model, features(np.maximum(seen + model["shift"], 0), starts)))
-    return np.concatenate(out).astype(float) if out else np.empty(0)
+    """Probabilities of label 1. Memory is bounded by SLAB, not by a text's length."""
+    chunks, sums, tops = np.zeros(len(texts)), np.zeros((len(texts), FILTERS)), np.zeros((len(texts), FILTERS))
+    owner, parts, nexts, held = [], [], [], 0
+
+    def settle():
+        if parts:
+            n, total, top = pooled_parts(model, parts, nexts)
+            np.add.at(chunks, owner, n)
+            np.add.at(sums, owner, total)
+            np.maximum.at(tops, owner, top)
+            for some in (owner, parts, nexts):
+                some.clear()
+
+    for i, text in enumerate(texts):
+        for part, following in pieces(text):
+            owner.append(i)
+            parts.append(part)
+            nexts.append(following)
+            held += max(len(part), CHUNK)
+            if held >= SLAB:
+                settle()
+                held = 0
+    settle()
+    return probability(model, np.hstack([sums / chunks[:, None], tops])).astype(float) if len(texts) else np.empty(0)
 
 
 def gradients(model: dict, texts: list[str], labels: np.ndarray) -> dict:
-    symbols, starts = padded(texts)
+    symbols, starts = padded([t.encode("utf-8", "surrogatepass") for t in texts])
     pooled, at, blocks, after = forward(model, symbols, starts)
     seen = features(pooled, starts)
     error = ((probability(model, seen) - labels) / len(labels)).astype(seen.dtype)

@@ -15,12 +15,10 @@ any size; one that fills the bits has more candidates, and the same results.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import ascii_lower, barrier, fresh, shared_dir, table, written
+from .shared import ascii_lower, barrier, fresh, table, working_path, written
 
 WINDOW = 10
 ANCHOR = 4
@@ -140,7 +138,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> Dat
     rows = barrier(docs.withColumn(mark, words(F.col("text"))), **{count: F.size(mark)})
     rows = rows.withColumns({row: F.monotonically_increasing_id(), near: candidates(known, F.col(mark), F.col(count))}).drop(mark, count)
     rows = rows.withColumn(doubt, (F.size(near) > 0).cast("int"))
-    path = f"{shared_dir(docs.sparkSession)}/doubts-{uuid.uuid4().hex}"
+    path = working_path(docs.sparkSession, "doubts")
     rows.write.partitionBy(doubt).parquet(path)
     rows = docs.sparkSession.read.schema(rows.schema).parquet(path)
     doubtful = rows.filter(F.col(doubt) == 1)

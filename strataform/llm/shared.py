@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -16,24 +17,41 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+class NoSharedFolder(RuntimeError):
+    pass
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: what spark.checkpoint.dir names.
 
-    Only where the session names none (tests, one machine) a local folder is set.
-    """
+    Where the session names none, a temporary one is set if all runs on this machine (as
+    in tests); on a cluster that is an error, for its machines share no such folder."""
     context = spark.sparkContext
     if not context.getCheckpointDir():
         named = context.getConf().get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise NoSharedFolder("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "strataform-checkpoints"))
     return context.getCheckpointDir()
 
 
+def working_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, below a folder of this application's own."""
+    return f"{shared_dir(spark)}/work-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df, written once to the shared folder and read again: cuts the lineage."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = working_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Remove what this application wrote with working_path. Results that are read from
+    there must have been written elsewhere before."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/work-{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def ascii_lower(text):

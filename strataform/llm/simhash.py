@@ -22,14 +22,15 @@ copy each row to nearly all shards. The partitions are therefore cut in two metr
 In a shard a VP tree over the residents, on whole fingerprints, answers residents and
 visitors exactly. A leaf reduces its hits to stars, so no shard emits all its pairs:
 the links returned connect exactly what the full set of links connects. Shards with
-more than SHARD_ROWS rows (tight groups that no distance separates) are dealt into
-tiles: residents to one of s rows of the grid, and visitors to all of them.
+more than SHARD_ROWS rows (tight groups that no distance separates) are dealt into a
+square grid of tiles: residents to one of its rows, askers to one of its columns.
 """
 
 from __future__ import annotations
 
 import itertools
 import math
+import re
 
 import numpy as np
 import pandas as pd
@@ -49,22 +50,40 @@ SHARD_ROWS = 16_384
 #: Fingerprints that a shard should hold on average; sets the length of the distance path.
 AIM = 1_024
 LEAF = 128
+#: Characters of a text whose words are hashed at a time.
+SLAB = 1 << 19
+_SPACE = re.compile("[\t-\r ]")
 #: Vantage points: multiples of the odd 64-bit golden-ratio constant.
 VANTAGE = [(0x9E3779B97F4A7C15 * (j + 1)) % 2**64 for j in range(12)]
 
 
-def shingle_hashes(text: str | None, size: int = SHINGLE) -> np.ndarray:
-    """XXH64 of each shingle, repeats included; empty for texts without words."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    parts = [b" ".join(words)] if len(words) < size else map(b" ".join, zip(*(words[i:] for i in range(size))))
-    return np.fromiter(map(xxhash.xxh64_intdigest, parts, itertools.repeat(SEED)), np.uint64)
+def word_slabs(text: str):
+    """The words of a text, lower-cased, as lists from about SLAB characters each."""
+    at = 0
+    while at < len(text):
+        cut = _SPACE.search(text, at + SLAB)
+        end = cut.end() if cut else len(text)
+        yield text[at:end].encode("utf-8", "surrogatepass").lower().split()
+        at = end
+
+
+def shingle_hashes(text: str | None, size: int = SHINGLE):
+    """XXH64 of the shingles, repeats included, in arrays; none for texts without words."""
+    carried: list[bytes] = []
+    whole = True
+    for words in word_slabs(text or ""):
+        words = carried + words
+        if len(words) >= size:
+            whole = False
+            yield np.fromiter(map(xxhash.xxh64_intdigest, map(b" ".join, zip(*(words[i:] for i in range(size)))), itertools.repeat(SEED)), np.uint64)
+        carried = words[1 - size :] if size > 1 else []
+    if whole and carried:
+        yield np.array([xxhash.xxh64_intdigest(b" ".join(carried), SEED)], np.uint64)
 
 
 def simhash(texts: pd.Series) -> np.ndarray:
     """Signed 64-bit fingerprints; zero where there are no words (nulls included)."""
-    out = np.zeros(len(texts), np.uint64)
+    votes, counts = np.zeros((len(texts), 64), np.int64), np.zeros(len(texts), np.int64)
     todo: list[tuple[int, np.ndarray]] = []
     held = 0
 
@@ -74,20 +93,20 @@ def simhash(texts: pd.Series) -> np.ndarray:
             return
         starts = np.cumsum([0, *(len(h) for _, h in todo[:-1])])
         bits = np.unpackbits(np.concatenate([h for _, h in todo]).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-        votes = np.add.reduceat(bits, starts, axis=0, dtype=np.uint32)
-        sizes = np.array([len(h) for _, h in todo], np.uint32)
-        out[[i for i, _ in todo]] = np.packbits(2 * votes > sizes[:, None], axis=1).view(">u8").ravel()
+        owner = [i for i, _ in todo]
+        np.add.at(votes, owner, np.add.reduceat(bits, starts, axis=0, dtype=np.int64))
+        np.add.at(counts, owner, [len(h) for _, h in todo])
         todo.clear()
         held = 0
 
     for i, text in enumerate(texts):
-        if len(h := shingle_hashes(text)):
+        for h in shingle_hashes(text):
             todo.append((i, h))
             held += len(h)
             if held > 100_000:
                 settle()
     settle()
-    return out.view(np.int64)
+    return np.packbits(2 * votes > counts[:, None], axis=1).view(">u8").ravel().astype(np.uint64).view(np.int64)
 
 
 @F.pandas_udf(T.LongType())
@@ -130,17 +149,20 @@ def shards(prints: DataFrame, rows: int) -> DataFrame:
 
 
 def tiled(rows: DataFrame) -> DataFrame:
-    """rows with a tile: shards above SHARD_ROWS have their residents dealt to several
-    tiles and everyone (residents too) visits all tiles."""
+    """(cell, band, tile, home, asks, fp). Shards above SHARD_ROWS become a grid: residents
+    are dealt to its rows, and everyone, residents too, asks from one of its columns, so
+    that each pair meets in one tile and no tile holds more than a share of either."""
     sizes = rows.groupBy("cell", "band").agg(F.count("*").alias("n")).filter(F.col("n") > SHARD_ROWS)
     joined = rows.join(sizes, ["cell", "band"], "left")
-    tiles = F.ceil(F.coalesce("n", F.lit(1)) / SHARD_ROWS).cast("int")
-    own = F.pmod(F.xxhash64("fp"), F.col("tiles"))
-    return (
-        joined.select("cell", "band", "home", "fp", tiles.alias("tiles"))
-        .select("*", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"))
-        .select("cell", "band", "tile", (F.col("home") & (own == F.col("tile"))).alias("home"), "fp")
-    )
+    side = F.ceil(F.coalesce("n", F.lit(1)) / SHARD_ROWS).cast("long")
+    row, column = F.pmod(F.xxhash64("fp"), F.col("side")), F.pmod(F.xxhash64("fp", F.lit(1)), F.col("side"))
+    along = F.sequence(F.lit(0).cast("long"), F.col("side") - 1)
+    spot = lambda tile, home, asks: F.struct(tile.alias("tile"), home.alias("home"), asks.alias("asks"))
+    one = F.array(spot(F.lit(0).cast("long"), F.col("home"), F.lit(True)))
+    asking = F.transform(along, lambda r: spot(r * F.col("side") + column, F.lit(False), F.lit(True)))
+    living = F.when(F.col("home"), F.transform(along, lambda c: spot(row * F.col("side") + c, F.lit(True), F.lit(False)))).otherwise(F.array().cast("array<struct<tile:bigint,home:boolean,asks:boolean>>"))
+    placed = joined.select("cell", "band", "home", "fp", side.alias("side")).withColumn("spots", F.when(F.col("side") == 1, one).otherwise(F.concat(asking, living)))
+    return placed.select("cell", "band", "fp", F.inline("spots"))
 
 
 def _stars(queries: np.ndarray, leaf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -210,8 +232,8 @@ def spanning(pairs: np.ndarray) -> np.ndarray:
 
 def _shard_links(rows: pd.DataFrame) -> pd.DataFrame:
     fp = rows["fp"].to_numpy(np.int64).view(np.uint64)  # bit counts of signed numbers are of their absolute values
-    at_home = rows["home"].to_numpy(bool)
-    pairs = spanning(vp_links(np.unique(fp[at_home]), np.unique(fp)))
+    at_home, asks = rows["home"].to_numpy(bool), rows["asks"].to_numpy(bool)
+    pairs = spanning(vp_links(np.unique(fp[at_home]), np.unique(fp[asks])))
     pairs = pairs.view(np.int64)
     return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 

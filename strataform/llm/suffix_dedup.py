@@ -22,9 +22,10 @@ same text or in another. Texts are compared as UTF-8 bytes.
 
 A text is told from others by its 64-bit hash and its size, a run by two 64-bit hashes.
 A bucket of more than LARGE bytes (very many texts that share a passage and go on
-differently) is not sorted, nor gathered: its windows become rows, dealt by their 64-bit
-hashes, which are counted and joined back. Only buckets whose first hash has windows enough
-are measured for that.
+differently) is cut on, down to single windows: its windows become rows, dealt by their
+64-bit hashes, and repeat as a whole if they are counted twice, as the runs of step 3 do.
+No task gathers such a bucket. Only buckets whose first hash has windows enough are
+measured for that.
 """
 
 from __future__ import annotations
@@ -44,6 +45,8 @@ GRAM = 32
 #: Bytes that are hashed, or sorted, at a time.
 BLOCK = 1 << 20
 SHARD = 1 << 19
+#: Bits of a position in a block; the same for all blocks, lest ties be broken differently.
+PLACE = 31
 LARGE = 1 << 22
 #: run: digest, key, size and first window, last window, last window of the first of equal
 #: runs, how many those are. One array, so that all readers of a run take the same shuffle.
@@ -77,13 +80,14 @@ def window_minima(h: np.ndarray, width: int) -> np.ndarray:
 def runs_of(texts: list[bytes], match: int = MATCH, gram: int = GRAM, seed: int = 0) -> tuple[np.ndarray, ...]:
     """(text number, smallest hash, first window, last window) of each run.
 
-    The hashes' low bits give way to their positions, so that minima tell the place."""
+    The hashes' low PLACE bits give way to their positions, so that minima tell the place.
+    Of hashes that agree in all other bits the leftmost is taken, in each copy alike."""
     texts_long = [(k, t) for k, t in enumerate(texts) if len(t) >= match]
     if not texts_long:
         return (np.empty(0, np.int64),) * 4
     data = np.frombuffer(b"".join(t for _, t in texts_long), np.uint8)
     hashes = gram_hashes(data, gram, seed)
-    low = np.uint64((1 << len(data).bit_length()) - 1)
+    low = np.uint64((1 << PLACE) - 1)
     least = window_minima((hashes & ~low) | np.arange(len(hashes), dtype=np.uint64), match - gram + 1)
     owner, first, last, value = [], [], [], []
     at = 0
@@ -390,12 +394,13 @@ def repeated_bytes(docs: DataFrame, match: int = MATCH, gram: int = GRAM) -> Dat
 def without_repeats(docs: DataFrame, match: int = MATCH, gram: int = GRAM) -> DataFrame:
     """docs with its columns, repeated bytes cut from text. A character of which only a
     part is left goes too; n_chars, if docs has it, counts the new text. All rows stay."""
-    key, size, own = fresh(docs, "key"), fresh(docs, "size"), fresh(docs, "own_text")
+    taken = {c: fresh(docs, c) for c in ("key", "size", "own_text", "kept_key", "kept_size", "valid", "made", "new_text")}
+    key, size, own, kept_key, kept_size, valid, made, new = taken.values()
     rows = docs.withColumns({key: F.xxhash64("text"), size: F.octet_length("text").cast("int"), own: F.when(F.octet_length("text") < match, F.col("text"))}).drop("text")
-    kept = kept_bytes(docs, match, gram).select(F.col("key").alias("kept_key"), F.col("size").alias("kept_size"), F.try_validate_utf8(F.col("kept").cast("string")).alias("valid"), F.make_valid_utf8(F.col("kept").cast("string")).alias("made"))
-    text = F.coalesce(own, "valid", F.regexp_replace("made", "\\ufffd", ""))
-    joined = rows.join(kept, (F.col(key) == F.col("kept_key")) & (F.col(size) == F.col("kept_size")), "left").withColumn(fresh(docs, "new_text"), text)
-    new = fresh(docs, "new_text")
+    string = F.col("kept").cast("string")
+    kept = kept_bytes(docs, match, gram).select(F.col("key").alias(kept_key), F.col("size").alias(kept_size), F.try_validate_utf8(string).alias(valid), F.make_valid_utf8(string).alias(made))
+    text = F.coalesce(own, valid, F.regexp_replace(made, "\ufffd", ""))
+    joined = rows.join(kept, (F.col(key) == F.col(kept_key)) & (F.col(size) == F.col(kept_size)), "left").withColumn(new, text)
     cols = [F.col(new).alias("text") if c == "text" else F.char_length(new).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
     return joined.select(*cols)
 

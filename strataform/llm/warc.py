@@ -27,10 +27,12 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import shared_dir, table, written
+from .shared import table, working_path, written
 
 CHUNK = 1 << 16
 MIN_BYTES = 0
+#: Compressed bytes from which on a task begins another archive.
+ARCHIVE_BYTES = 1 << 30
 NAME = "urn:page:"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 FILES = "path string, n_records long, n_bytes long"
@@ -126,7 +128,7 @@ def fields(lines: bytes) -> dict[str, str]:
     for line in lines.decode("utf-8").split("\r\n"):
         name, colon, value = line.partition(":")
         if colon:
-            out[name.strip().lower()] = value.strip()
+            out[name.strip(" \t").lower()] = value.strip(" \t")
     return out
 
 
@@ -167,7 +169,7 @@ def records(stream, keep_payload: bool = False) -> Iterator[Record]:
         yield out
 
 
-def write_archives(pages: DataFrame, path: str, min_bytes: int = MIN_BYTES) -> DataFrame:
+def write_archives(pages: DataFrame, path: str, min_bytes: int = MIN_BYTES, most: int = ARCHIVE_BYTES) -> DataFrame:
     """Write pages (page_id, url, html) as archives under path; FILES lists them.
 
     A null html is an empty payload. Of equal payloads all rows with the smallest page_id
@@ -179,19 +181,29 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = MIN_BYTES) -> D
 
     def write(batches):
         system, base = filesystem(path)
-        name, stream, n, size = f"{base}/{uuid.uuid4().hex}.warc.gz", None, 0, 0
+        stream, name, n, size = None, "", 0, 0
+
+        def closed():
+            nonlocal stream, n, size
+            stream.close()
+            full = name if not re.match(r"\w+:/", path) else f"{path}/{name.rpartition('/')[2]}"
+            done = pa.RecordBatch.from_pydict({"path": pa.array([full]), "n_records": pa.array([n], pa.int64()), "n_bytes": pa.array([size], pa.int64())})
+            stream, n, size = None, 0, 0
+            return done
+
         for batch in batches:
             for page_id, url, html, refers_to in zip(*batch.columns):
                 if stream is None:
                     system.create_dir(base, recursive=True)
+                    name = f"{base}/{uuid.uuid4().hex}.warc.gz"
                     stream = system.open_output_stream(name)
                 out = record(page_id.as_py(), url.as_py(), html.as_buffer().to_pybytes(), refers_to.as_py())
                 stream.write(out)
                 n, size = n + 1, size + len(out)
+                if size >= most:
+                    yield closed()
         if stream is not None:
-            stream.close()
-            full = name if not re.match(r"\w+:/", path) else f"{path}/{name.rpartition('/')[2]}"
-            yield pa.RecordBatch.from_pydict({"path": pa.array([full]), "n_records": pa.array([n], pa.int64()), "n_bytes": pa.array([size], pa.int64())})
+            yield closed()
 
     return written(known.mapInArrow(write, FILES), "archives")
 
@@ -223,7 +235,7 @@ def read_archives(files: DataFrame) -> DataFrame:
 
 def round_trip(pages: DataFrame) -> DataFrame:
     """The records of pages after writing and reading them; an empty table gives none."""
-    files = write_archives(pages, f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}")
+    files = write_archives(pages, working_path(pages.sparkSession, "warc"))
     return read_archives(files)
 
 

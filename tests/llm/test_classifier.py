@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pytest
 
 from strataform.llm import classifier
 
@@ -44,7 +45,7 @@ def test_gradients_match_differences():
     labels = np.array([1.0, 0, 1])
 
     def loss():
-        symbols, starts = classifier.padded(texts)
+        symbols, starts = classifier.padded([t.encode() for t in texts])
         p = classifier.probability(model, classifier.features(classifier.forward(model, symbols, starts)[0], starts).astype(np.float64))
         return -np.mean(labels * np.log(p) + (1 - labels) * np.log(1 - p))
 
@@ -57,3 +58,41 @@ def test_gradients_match_differences():
         down = loss()
         model[name][place] = kept
         assert abs((up - down) / (2 * eps) - grads[name][place]) < 0.02 * max(0.1, abs(grads[name][place]))
+
+
+def plain_score(model, text):
+    """The network by its definition: each filter at each place, chunk by chunk."""
+    data = list((text or "").encode())
+    chunks = max(1, -(-len(data) // classifier.CHUNK))
+    data += [classifier.PADDING] * (chunks * classifier.CHUNK + classifier.STRIDE - len(data))
+    pooled = []
+    for c in range(chunks):
+        best = np.full(classifier.FILTERS, -np.inf)
+        for at in range(c * classifier.CHUNK, (c + 1) * classifier.CHUNK, classifier.STRIDE):
+            window = np.concatenate([model["bytes"][b] for b in data[at : at + classifier.WIDTH]])
+            best = np.maximum(best, window @ model["filters"])
+        pooled.append(np.maximum(best + model["shift"], 0))
+    seen = np.concatenate([np.mean(pooled, 0), np.max(pooled, 0)])
+    return float(1 / (1 + np.exp(-(seen @ model["out"] + model["bias"])))[0])
+
+
+@pytest.mark.parametrize("slab", [512, 1024, 1 << 18])
+def test_score_against_plain_loops(monkeypatch, slab):
+    monkeypatch.setattr(classifier, "SLAB", slab)
+    rows = data()[:60]
+    model = classifier.fit([t for _, t, _ in rows], np.array([q for *_, q in rows], np.float32))
+    rng = random.Random(7)
+    sizes = [0, 1, 3, 4, 5, 508, 511, 512, 513, 515, 516, 517, 1023, 1024, 1028, 1029, 2060, 5000]
+    texts = [None] + ["".join(rng.choice("ab $é€") for _ in range(n)) for n in sizes] + ["x" * n for n in sizes]
+    got = classifier.score(model, texts)
+    assert np.abs(got - [plain_score(model, t) for t in texts]).max() < 1e-5
+    assert np.abs(got - np.concatenate([classifier.score(model, [t]) for t in texts])).max() < 1e-6
+
+
+def test_a_very_long_text_takes_little_memory():
+    import subprocess
+    import sys
+
+    code = "import resource, numpy as np; from strataform.llm import classifier as c; m = c.fit([], np.empty(0, np.float32)); m['out'][:] = 1; t = 'some text, é ' * 4_000_000; c.score(m, ['a', t]); print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)"
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True)
+    assert int(out.stdout) < 500

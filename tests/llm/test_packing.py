@@ -108,3 +108,20 @@ def test_matrices_round_trip(spark, truth):
         assert not ids[r.n_tokens :].any()
     assert {d: [x for s in sorted(p) for x in p[s]] for d, p in back.items()} == truth
     assert token_output.packed_matrices(docs.limit(0)).count() == 0
+
+
+def test_repeated_rows_long_texts_and_written_matrices(spark, tmp_path):
+    rng = random.Random(3)
+    long = " ".join(f"word{rng.randrange(3000)}" for _ in range(160_000))  # over a million characters
+    rows = [(1, long, "x"), (2, "again", "x"), (2, "again", "x"), (None, "no id", "x"), (3, None, "x")]
+    docs = spark.createDataFrame(rows, DOCS)
+    want = sorted((d or 0, n) for d, n in ((d, len(Tokenizer.from_file(PATH).encode(t or "", add_special_tokens=False).ids) + 1) for d, t, _ in rows))
+    pieces = packing.pack(docs).collect()
+    assert sum(r.length for r in pieces) == sum(n for _, n in want) and {(r.doc_id or 0, r.doc_tokens) for r in pieces} == set(want)
+    assert sum(r.doc_id == 2 and r.start == 0 for r in pieces) == 2
+    token_output.write_matrices(docs, str(tmp_path / "m"))
+    got = {}
+    for r in spark.read.parquet(str(tmp_path / "m")).collect():
+        for d, a, b in zip(r.doc_ids, r.cu_seqlens, r.cu_seqlens[1:]):
+            got[d or 0] = got.get(d or 0, 0) + b - a
+    assert got == {d: sum(n for e, n in want if e == d) for d, _ in want}

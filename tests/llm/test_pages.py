@@ -39,7 +39,7 @@ def test_extract(spark):
 
 
 def test_round_trip(spark):
-    rows = [(k, f"http://x/{k % 7} a\r\n%41", t, "clash") for k, t in enumerate([None, "", "<p>a</p>", "é" * 70000, "x", "<p>a</p>", "é" * 70000, "\r\n\r\n"])] + [(2, None, "<p>a</p>", "c"), (None, "u", "x", "c"), (None, "u", "alone", "c")]
+    rows = [(k, f"http://x/{k % 7} a\r\n%41", t, "clash") for k, t in enumerate([None, "", "<p>a</p>", "é" * 70000, "x", "<p>a</p>", "é" * 70000, "\r\n\r\n"])] + [(2, None, "<p>a</p>", "c"), (None, "u", "x", "c"), (None, "u", "alone", "c"), (44, "http://x/\u00a0", "z", "c"), (45, "\u2003", "y", "c")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, digest string")
     got = sorted((tuple(r) for r in warc.round_trip(pages).collect()), key=repr)
     want = []
@@ -63,3 +63,10 @@ def test_reader_frames_and_verifies():
             list(warc.records(io.BytesIO(gzip.compress(bad))))
     with pytest.raises(warc.DamagedArchive):
         list(warc.records(io.BytesIO(whole[:-9])))
+
+
+def test_archives_roll(spark, tmp_path):
+    pages = spark.createDataFrame([(k, "u", f"<p>{k}</p>" * 400) for k in range(40)], "page_id long, url string, html string")
+    files = warc.write_archives(pages, str(tmp_path / "w"), most=400)
+    assert files.count() > 4 and sum(r.n_records for r in files.collect()) == 40
+    assert sorted(r.page_id for r in warc.read_archives(files).collect()) == list(range(40))

@@ -61,7 +61,12 @@ def test_stage_columns(spark, tmp_path):
     docs, labels, items = corpus()
     spark.createDataFrame(labels[:60], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    some = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in enumerate(docs[:30])], DOCS)
+    rows = [(k, t, "en", "s", 1, "clash", "clash", "clash") for k, t in enumerate(docs[:30])]
+    rows += [rows[3], rows[3], (None, None, None, None, None, None, None, None), (None, docs[5], "en", None, 1, None, None, None)]
+    some = spark.createDataFrame(rows, DOCS + ", key string, found string, valid string")
     for _, stage in corpus_pipeline.STAGES[:-1]:
-        assert stage(spark, some, str(tmp_path)).columns == some.columns
+        out = stage(spark, some, str(tmp_path))
+        assert out.columns == some.columns and 0 < out.count() <= len(rows)
+        assert {r.key for r in out.collect()} <= {"clash", None}
         assert stage(spark, some.limit(0), str(tmp_path)).count() == 0
+    assert {r.doc_id for r in corpus_pipeline.STAGES[-1][1](spark, some, str(tmp_path)).collect()} == {r[0] for r in rows}

@@ -1,6 +1,10 @@
 import random
+import subprocess
+import sys
 
+import pandas as pd
 import xxhash
+from pyspark.sql import functions as F
 
 from strataform.llm import simhash
 
@@ -75,6 +79,29 @@ def test_tiles_and_deep_paths_lose_no_link(spark, monkeypatch):
     assert [got[i] for i in range(len(prints))] == want
 
 
+def test_long_texts_are_hashed_in_slabs(monkeypatch):
+    rng = random.Random(5)
+    texts = ["".join(rng.choice(["Ab", "c", "é", " ", "\t", "\n ", "\u00a0"]) for _ in range(n)) for n in (0, 1, 2, 30, 500, 4000)] + ["x" * 300, " " * 300, "a b " * 200, None]
+    want = [brute_print(t) for t in texts]
+    for slab in (1, 2, 7, 64, 1 << 19):
+        monkeypatch.setattr(simhash, "SLAB", slab)
+        assert [int(v) % 2**64 for v in simhash.simhash(pd.Series(texts, dtype=object))] == want
+
+
+def test_a_very_long_text_takes_little_memory():
+    code = "import resource, pandas as pd; from strataform.llm import simhash as s; t = 'some text, one ' * 3_000_000; s.simhash(pd.Series([t])); print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)"
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True)
+    assert int(out.stdout) < 500
+
+
+def test_no_tile_holds_a_large_shard(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "SHARD_ROWS", 50)
+    rows = spark.range(1000).selectExpr("1L AS cell", "2L AS band", "id % 4 > 0 AS home", "id AS fp").unionByName(spark.range(30).selectExpr("1L AS cell", "3L AS band", "true AS home", "id AS fp"))
+    tiles = simhash.tiled(rows).groupBy("band", "tile").agg(F.count_if("home").alias("homes"), F.count_if("asks").alias("asks")).collect()
+    assert len(tiles) == 401 and all(r.homes <= 75 and r.asks <= 90 for r in tiles if r.band == 2)
+    assert [(r.homes, r.asks) for r in tiles if r.band == 3] == [(30, 30)]
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], DOCS)
     assert simhash.near_duplicates(docs).count() == 0 and simhash.keep_one(docs).count() == 0

@@ -73,3 +73,16 @@ def test_against_brute_force(spark, match, gram, large, monkeypatch):
         clean = want[k][4].decode("utf-8", "ignore")
         assert cut[k].key == "clash" and (cut[k].text == clean or t is None) and (t is None or cut[k].n_chars == len(clean))
     assert sd.repeated_bytes(docs.limit(0)).count() == 0
+
+
+def test_clashing_names_and_equal_hash_bits(spark, monkeypatch):
+    monkeypatch.setattr(sd, "PLACE", 55)  # nine bits of hash: ties everywhere
+    rng = random.Random(6)
+    text = lambda n: "".join(rng.choice("abcd") for _ in range(n))
+    shared = text(300)
+    texts = [text(rng.randrange(50, 3000)) + shared[rng.randrange(40) :] + text(rng.randrange(400)) for _ in range(12)]
+    clash = ["key", "size", "own_text", "kept_key", "kept_size", "valid", "made", "new_text", "copies", "run"]
+    docs = spark.createDataFrame([(k, t, *clash) for k, t in enumerate(texts)], "doc_id long, text string, " + ", ".join(f"{c} string" for c in clash))
+    got = {r.doc_id: r for r in sd.without_repeats(docs).collect()}
+    for k, w in enumerate(brute(texts, 200)):
+        assert got[k].text == w[4].decode() and [got[k][c] for c in clash] == clash
