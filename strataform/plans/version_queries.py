@@ -52,14 +52,8 @@ def version_items(spark, sf):
     return versions.items_of(members(spark, sf), "v1", read(spark, sf, "documents").select("doc_id", "lang", "source"), "doc_id")
 
 
-@query("SELECT doc_id, lang, quality FROM documents JOIN labels USING (doc_id) WHERE quality IN (1) AND doc_id IN (SELECT doc_id FROM documents WHERE doc_id < 300)")
-def filter_version(spark, sf):
-    docs, labels = read(spark, sf, "documents"), read(spark, sf, "labels")
-    return versions.filtered(docs.filter("doc_id < 300").select("doc_id", "lang"), labels.select("doc_id", "quality"), "doc_id", "quality", labels=[1])
-
-
 @query("SELECT doc_id, lang, quality FROM documents JOIN labels USING (doc_id) WHERE quality IN (1)")
-def filter_version_whole(spark, sf):
+def filter_version(spark, sf):
     docs, labels = read(spark, sf, "documents"), read(spark, sf, "labels")
     return versions.filtered(docs.select("doc_id", "lang"), labels.select("doc_id", "quality"), "doc_id", "quality", labels=[1])
 
@@ -101,7 +95,7 @@ def items_with_annotations(spark, sf):
     return read(spark, sf, "orders").join(read(spark, sf, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey")).select("o_orderkey", "l_linenumber", "l_quantity", "o_totalprice")
 
 
-DECODED = "SELECT l_orderkey AS rid, l_linenumber AS annot_id, CASE WHEN l_linenumber % 2 = 0 THEN 0.25::DOUBLE END AS xmin, CASE WHEN l_linenumber % 2 = 0 THEN 0.75::DOUBLE END AS ymax, CASE WHEN l_linenumber % 2 = 1 THEN trunc(0.25 * 640)::INT END AS x0, CASE WHEN l_linenumber % 2 = 1 THEN trunc(0.75 * 481)::INT END AS y1 FROM lineitem WHERE l_orderkey % 10 = 0"
+DECODED = "SELECT l_orderkey AS rid, l_linenumber AS annot_id, CASE WHEN l_linenumber % 2 = 0 THEN 0.25::DOUBLE END AS xmin, CASE WHEN l_linenumber % 2 = 0 THEN 0.75::DOUBLE END AS ymax, CASE WHEN l_linenumber % 2 = 1 THEN trunc(0.25 * 640)::INT END AS x0, CASE WHEN l_linenumber % 2 = 1 THEN trunc(0.75 * 481)::INT END AS y1 FROM lineitem"
 
 
 def decoded(lines):
@@ -114,15 +108,10 @@ def decoded(lines):
 
 @query(DECODED)
 def decode_annotations(spark, sf):
-    return decoded(read(spark, sf, "lineitem").filter("l_orderkey % 10 = 0"))
-
-
-@query(DECODED.removesuffix(" WHERE l_orderkey % 10 = 0"))
-def decode_annotations_whole(spark, sf):
     return decoded(read(spark, sf, "lineitem"))
 
 
-STAMPED = "SELECT event_id, user_id, value AS score, date_trunc('second', ts) AS stamp FROM events WHERE user_id % 5 = 0"
+STAMPED = "SELECT event_id, user_id, value AS score, date_trunc('second', ts) AS stamp FROM events"
 
 
 def stamped(events):
@@ -133,11 +122,6 @@ def stamped(events):
 
 @query(STAMPED)
 def predictions_with_stamps(spark, sf):
-    return stamped(read(spark, sf, "events").filter("user_id % 5 = 0"))
-
-
-@query(STAMPED.removesuffix(" WHERE user_id % 5 = 0"))
-def predictions_with_stamps_whole(spark, sf):
     return stamped(read(spark, sf, "events"))
 
 
@@ -176,68 +160,49 @@ def mean_fps_without_first(spark, sf):
     return evaluation.mean_fps(read(spark, sf, "events").withColumn("fps", F.col("value")), "event_id").select(F.round("fps", 6).alias("fps"))
 
 
-def boxes(lines, after=None):
-    """Truth and detections made from lineitems: shifted boxes with deterministic scores."""
+def all_boxes(spark, sf):
+    """Truth and detections made from lineitems: shifted boxes with deterministic scores. Two
+    lineitems may differ in nothing but their dates, so those end a box's number."""
+    lines = read(spark, sf, "lineitem")
     x, y = (F.col("l_partkey") % 40).cast("double"), (F.col("l_suppkey") % 40).cast("double")
     box = lambda dx, dy: F.struct((x + dx).alias("xmin"), (y + dy).alias("ymin"), (x + dx + 20).alias("xmax"), (y + dy + 20).alias("ymax"))
-    number = F.col("l_partkey") * 100000 + F.col("l_suppkey") * 10 + F.col("l_linenumber")
-    box_id = number if after is None else number * 100000 + after
-    keys = [F.col("l_orderkey").alias("item"), F.col("l_returnflag").alias("label"), box_id.alias("box_id")]
-    truth = lines.select(*keys, box(F.lit(0.0), F.lit(0.0)).alias("box"))
+    number = (F.col("l_partkey") * 100000 + F.col("l_suppkey") * 10 + F.col("l_linenumber")) * 100000 + F.unix_date(F.to_date("l_shipdate"))
+    keys = [F.col("l_orderkey").alias("item"), F.col("l_returnflag").alias("label")]
+    truth = lines.select(*keys, number.alias("box_id"), box(F.lit(0.0), F.lit(0.0)).alias("box"))
     shift = (F.col("l_linenumber") % 4).cast("double") * 2.5
     score = F.pmod(F.col("l_partkey") * 7919 + F.col("l_suppkey") * 104729, F.lit(1000)) / 1000.0
-    found = lines.select(keys[0], keys[1], keys[2].alias("det"), score.alias("score"), box(shift, F.lit(0.0)).alias("box"))
-    return truth, found
+    return truth, lines.select(*keys, number.alias("det"), score.alias("score"), box(shift, F.lit(0.0)).alias("box"))
 
 
-BOXES = """WITH l AS (SELECT l_orderkey AS item, l_returnflag AS label, l_partkey * 100000 + l_suppkey * 10 + l_linenumber AS id, (l_partkey % 40)::DOUBLE AS x, (l_suppkey % 40)::DOUBLE AS y, (l_linenumber % 4) * 2.5::DOUBLE AS s, ((l_partkey * 7919 + l_suppkey * 104729) % 1000) / 1000.0::DOUBLE AS score FROM lineitem WHERE l_orderkey % 20 = 0),
+HITS = """WITH l AS (SELECT l_orderkey AS item, l_returnflag AS label, (l_partkey * 100000 + l_suppkey * 10 + l_linenumber) * 100000 + date_diff('day', DATE '1970-01-01', l_shipdate::DATE) AS id, (l_partkey % 40)::DOUBLE AS x, (l_suppkey % 40)::DOUBLE AS y, (l_linenumber % 4) * 2.5::DOUBLE AS s, ((l_partkey * 7919 + l_suppkey * 104729) % 1000) / 1000.0::DOUBLE AS score FROM lineitem),
 pairs AS (SELECT d.item, d.label, d.id AS det, d.score, t.id AS box_id, greatest(0.0, least(d.x + d.s + 20, t.x + 20) - greatest(d.x + d.s, t.x)) * greatest(0.0, least(d.y + 20, t.y + 20) - greatest(d.y, t.y)) AS i FROM l d JOIN l t ON t.item = d.item AND t.label = d.label),
 best AS (SELECT item, label, det, score, box_id, i / (800.0 - i) AS iou FROM pairs QUALIFY row_number() OVER (PARTITION BY item, label, det ORDER BY i / (800.0 - i) DESC, box_id) = 1),
-hits AS (SELECT label, item, det, score, iou >= 0.5 AND row_number() OVER (PARTITION BY item, label, box_id, iou >= 0.5 ORDER BY score DESC, det) = 1 AS hit FROM best)"""
+cuts(threshold) AS (VALUES {overlaps}),
+hits AS (SELECT threshold, label, item, det, score, iou >= threshold AND row_number() OVER (PARTITION BY threshold, item, label, box_id, iou >= threshold ORDER BY score DESC, det) = 1 AS hit FROM best, cuts)"""
+HALF = "(0.5::DOUBLE)"
+TENTHS = ", ".join(f"({0.5 + 0.05 * k:.2f}::DOUBLE)" for k in range(10))
 
 
-def some_lines(spark, sf):
-    """The lineitems that BOXES asks for."""
-    return read(spark, sf, "lineitem").filter("l_orderkey % 20 = 0")
-
-
-def all_boxes(spark, sf):
-    """Of all lineitems: two of them may differ in nothing but the dates after their number."""
-    return boxes(read(spark, sf, "lineitem"), F.unix_date(F.to_date("l_shipdate")))
-
-
-ALL_BOXES = BOXES.replace(" WHERE l_orderkey % 20 = 0", "").replace("l_partkey * 100000 + l_suppkey * 10 + l_linenumber AS id", "(l_partkey * 100000 + l_suppkey * 10 + l_linenumber) * 100000 + date_diff('day', DATE '1970-01-01', l_shipdate::DATE) AS id")
-HITS = " SELECT label, item, det, hit FROM hits"
-
-
-@query(BOXES + HITS)
+@query(HITS.format(overlaps=HALF) + " SELECT label, item, det, hit FROM hits")
 def detection_hits(spark, sf):
-    return evaluation.detections(*boxes(some_lines(spark, sf)), [0.5]).select("label", "item", "det", "hit")
-
-
-@query(ALL_BOXES + HITS)
-def detection_hits_whole(spark, sf):
     return evaluation.detections(*all_boxes(spark, sf), [0.5]).select("label", "item", "det", "hit")
 
 
-AVERAGE_PRECISION = """, curve AS (SELECT label, sum(hit::INT) OVER w AS tp, sum(hit::INT) OVER w / count(*) OVER w AS p FROM hits WINDOW w AS (PARTITION BY label ORDER BY score DESC, item, det ROWS UNBOUNDED PRECEDING)),
-steps AS (SELECT label, tp, max(p) AS p FROM curve WHERE tp > 0 GROUP BY label, tp), tops AS (SELECT label, max(p) OVER (PARTITION BY label ORDER BY tp DESC) AS best FROM steps), n AS (SELECT label, count(*) AS n FROM l GROUP BY label)
-SELECT 0.5::DOUBLE AS threshold, label, round(sum(best / n), 8) AS ap FROM tops JOIN n USING (label) GROUP BY label"""
+CURVE = """, curve AS (SELECT threshold, label, sum(hit::INT) OVER w AS tp, sum(hit::INT) OVER w / count(*) OVER w AS p FROM hits WINDOW w AS (PARTITION BY threshold, label ORDER BY score DESC, item, det ROWS UNBOUNDED PRECEDING)),
+steps AS (SELECT threshold, label, tp, max(p) AS p FROM curve WHERE tp > 0 GROUP BY threshold, label, tp), tops AS (SELECT threshold, label, tp, max(p) OVER (PARTITION BY threshold, label ORDER BY tp DESC) AS best FROM steps), n AS (SELECT label, count(*) AS n FROM l GROUP BY label)"""
 
 
-@query(BOXES + AVERAGE_PRECISION)
+@query(HITS.format(overlaps=HALF) + CURVE + " SELECT 0.5::DOUBLE AS threshold, label, round(sum(best / n), 8) AS ap FROM tops JOIN n USING (label) GROUP BY label")
 def average_precision(spark, sf):
-    return evaluation.average_precision(*boxes(some_lines(spark, sf)), [0.5]).select("threshold", "label", F.round("ap", 8).alias("ap"))
-
-
-@query(ALL_BOXES + AVERAGE_PRECISION)
-def average_precision_whole(spark, sf):
     return evaluation.average_precision(*all_boxes(spark, sf), [0.5]).select("threshold", "label", F.round("ap", 8).alias("ap"))
 
 
-@query()
+@query(HITS.format(overlaps=TENTHS) + CURVE + """, voc AS (SELECT label, sum(best / n) AS ap FROM tops JOIN n USING (label) WHERE threshold = 0.5 GROUP BY label),
+points AS (SELECT threshold, label, k, n FROM cuts, n, range(101) r(k)),
+at_points AS (SELECT threshold, label, k, coalesce(max(best), 0) AS p FROM points LEFT JOIN tops USING (threshold, label) WHERE tp IS NULL OR tp * 100 >= k * n GROUP BY threshold, label, k)
+SELECT round((SELECT sum(ap) FROM voc) / (SELECT count(*) FROM n), 8) AS voc, round(100 * (SELECT sum(p) FROM at_points) / 101 / (SELECT count(*) * 10 FROM n), 6) AS coco""")
 def mean_average_precision(spark, sf):
-    return evaluation.mean_average_precision(*all_boxes(spark, sf))
+    return evaluation.mean_average_precision(*all_boxes(spark, sf)).select(F.round("voc", 8).alias("voc"), F.round("coco", 6).alias("coco"))
 
 
 @query("SELECT CASE WHEN hour(ts) BETWEEN 5 AND 19 THEN 'daytime' ELSE 'nighttime' END AS part, count(*) AS n FROM events GROUP BY 1")
@@ -296,35 +261,34 @@ def sample_with_replacement(spark, sf):
 
 
 def history(spark, sf) -> lineage.Lineage:
-    """Data versions are nations, models suppliers' nations, trainings suppliers, inferences
-    and tests are made from them."""
+    """Data versions are nations, models suppliers' remainders, trainings suppliers;
+    inferences are made from them. All are numbered from 0 or 1, so kinds share ids."""
     s = read(spark, sf, "supplier")
     none = F.create_map().cast("map<string,string>")
-    node = lambda rows, label, name: rows.select(F.lit(label).alias("label"), name.alias("id")).distinct().withColumn("props", none)
-    d, m, t, i = (F.concat(F.lit(p), c) for p, c in (("d", "s_nationkey"), ("m", (F.col("s_suppkey") % 9).cast("string")), ("t", "s_suppkey"), ("i", "s_suppkey")))
+    node = lambda label, name: s.select(F.lit(label).alias("label"), name.alias("id")).distinct().withColumn("props", none)
+    d, m, t = (c.cast("string") for c in (F.col("s_nationkey"), F.col("s_suppkey") % 9, F.col("s_suppkey")))
     out = lineage.Lineage.empty(spark)
-    out = out.merge_nodes(node(s, "Data_Version", d).unionAll(node(s, "Model_Version", m)).unionAll(node(s, "Training_Version", t)).unionAll(node(s, "Inference_Version", i)))
-    out = out.create_edges("DATA_TRAINING", s.select(d.alias("src"), t.alias("dst"))).create_edges("MODEL_TRAINING", s.select(m.alias("src"), t.alias("dst")))
-    return out.create_edges("DEPLOY", s.filter("s_suppkey % 2 = 0").select(t.alias("src"), i.alias("dst")), {"optimization": "none"})
+    out = out.merge_nodes(node(lineage.DATA, d).unionAll(node(lineage.MODEL, m)).unionAll(node(lineage.TRAINING, t)).unionAll(node(lineage.INFERENCE, t)))
+    out = out.create_edges("DATA_TRAINING", lineage.DATA, lineage.TRAINING, s.select(d.alias("src"), t.alias("dst"))).create_edges("MODEL_TRAINING", lineage.MODEL, lineage.TRAINING, s.select(m.alias("src"), t.alias("dst")))
+    return out.create_edges("DEPLOY", lineage.TRAINING, lineage.INFERENCE, s.filter("s_suppkey % 2 = 0").select(t.alias("src"), t.alias("dst")), {"optimization": "none"})
 
 
-@query("SELECT 'd' || s_nationkey AS \"at\", 't' || s_suppkey AS next FROM supplier")
+@query("SELECT s_nationkey::VARCHAR AS \"at\", s_suppkey::VARCHAR AS next FROM supplier")
 def lineage_1hop(spark, sf):
     h = history(spark, sf)
-    return h.step(h.select("Data_Version").select(F.col("id").alias("at")), "DATA_TRAINING").select("at", "next")
+    return h.step(h.start(lineage.DATA), "DATA_TRAINING").select("at", "next")
 
 
-@query("SELECT 'd' || s_nationkey AS data, 't' || s_suppkey AS training, 'i' || s_suppkey AS inference FROM supplier WHERE s_suppkey % 2 = 0")
+@query("SELECT s_nationkey::VARCHAR AS data, s_suppkey::VARCHAR AS training, s_suppkey::VARCHAR AS inference FROM supplier WHERE s_suppkey % 2 = 0")
 def lineage_2hop(spark, sf):
     h = history(spark, sf)
-    start = h.select("Data_Version").select(F.col("id").alias("at"), F.col("id").alias("data"))
-    return h.path(start, [("training", "DATA_TRAINING", False), ("inference", "DEPLOY", False)])
+    return h.path(h.start(lineage.DATA).withColumn("data", F.col("at")), [("training", "DATA_TRAINING", False), ("inference", "DEPLOY", False)])
 
 
-@query("SELECT 'i' || s_suppkey AS inference, 't' || s_suppkey AS training, 'm' || (s_suppkey % 9) AS model, 'd' || s_nationkey AS data FROM supplier WHERE s_suppkey % 2 = 0")
+@query("SELECT s_suppkey::VARCHAR AS inference, s_suppkey::VARCHAR AS training, (s_suppkey % 9)::VARCHAR AS model, s_nationkey::VARCHAR AS data FROM supplier WHERE s_suppkey % 2 = 0")
 def lineage_pipeline(spark, sf):
     h = history(spark, sf)
-    return h.pipelines(h.select("Inference_Version").select(F.col("id").alias("at")))
+    return h.pipelines(h.start(lineage.INFERENCE))
 
 
 @query("SELECT label, count(*) AS n FROM (SELECT DISTINCT 'Data_Version' AS label, s_nationkey AS k FROM supplier UNION SELECT 'Model_Version', s_suppkey % 9 FROM supplier UNION SELECT 'Training_Version', s_suppkey FROM supplier UNION SELECT 'Inference_Version', s_suppkey FROM supplier) GROUP BY label")
@@ -333,30 +297,75 @@ def lineage_merge_nodes(spark, sf):
     return h.merge_nodes(h.nodes).nodes.groupBy("label").agg(F.count("*").alias("n"))
 
 
-@query("SELECT 't' || s_suppkey AS id, CASE WHEN s_suppkey = 5 THEN '12' END AS epochs FROM supplier WHERE s_suppkey < 10")
+@query("SELECT s_suppkey::VARCHAR AS id, CASE WHEN s_suppkey = 5 THEN '12' END AS epochs FROM supplier")
 def lineage_set_properties(spark, sf):
-    h = history(spark, sf).set_props(F.col("id") == "t5", {"epochs": "12"})
-    return h.select("Training_Version").filter(F.substring("id", 2, 9).cast("int") < 10).select("id", F.col("props")["epochs"].alias("epochs"))
+    h = history(spark, sf).set_props((F.col("label") == lineage.TRAINING) & (F.col("id") == "5"), {"epochs": "12"})
+    return h.select(lineage.TRAINING).select("id", F.col("props")["epochs"].alias("epochs"))
 
 
-@query("SELECT 't' || s_suppkey AS id, CASE WHEN s_suppkey = 5 THEN '12' END AS epochs FROM supplier")
-def lineage_set_properties_whole(spark, sf):
-    h = history(spark, sf).set_props(F.col("id") == "t5", {"epochs": "12"})
-    return h.select("Training_Version").select("id", F.col("props")["epochs"].alias("epochs"))
+@query("SELECT type, src_label, dst_label, count(*) AS n FROM (SELECT 'DATA_TRAINING' AS type, 'Data_Version' AS src_label, 'Training_Version' AS dst_label FROM supplier UNION ALL SELECT 'MODEL_TRAINING', 'Model_Version', 'Training_Version' FROM supplier UNION ALL SELECT 'DEPLOY', 'Training_Version', 'Inference_Version' FROM supplier WHERE s_suppkey % 2 = 0) GROUP BY ALL")
+def lineage_shared_ids(spark, sf):
+    return history(spark, sf).edges.groupBy("type", "src_label", "dst_label").agg(F.count("*").alias("n"))
 
 
 @query("SELECT 'DATA_TRAINING' AS type, count(*) AS n FROM supplier WHERE s_nationkey <> 3 UNION ALL SELECT 'MODEL_TRAINING', count(*) FROM supplier UNION ALL SELECT 'DEPLOY', count(*) FROM supplier WHERE s_suppkey % 2 = 0")
 def lineage_detach_delete(spark, sf):
     h = history(spark, sf)
-    gone = h.nodes.filter("id = 'd3'").select("id")
+    gone = h.nodes.filter((F.col("label") == lineage.DATA) & (F.col("id") == "3"))
     return h.detach(gone).edges.groupBy("type").agg(F.count("*").alias("n"))
 
 
-@query("SELECT * FROM (VALUES ('v3', 'v1'), ('v3', 'v2')) t(\"at\", next)")
+@query("SELECT src_label, src, dst, count(*) AS n FROM (SELECT 'Data_Version' AS src_label, s_nationkey::VARCHAR AS src, s_suppkey::VARCHAR AS dst FROM supplier) GROUP BY ALL")
+def lineage_merged_edges(spark, sf):
+    h = history(spark, sf)
+    pairs = read(spark, sf, "supplier").select(F.col("s_nationkey").cast("string").alias("src"), F.col("s_suppkey").cast("string").alias("dst"))
+    twice = h.create_edges("HAS_IMAGE", lineage.DATA, lineage.TRAINING, pairs.unionAll(pairs), once=True).create_edges("HAS_IMAGE", lineage.DATA, lineage.TRAINING, pairs, once=True)
+    return twice.edges.filter("type = 'HAS_IMAGE'").groupBy("src_label", "src", "dst").agg(F.count("*").alias("n"))
+
+
+@query("SELECT k::VARCHAR AS id, k IN (SELECT s_suppkey FROM supplier) AS there FROM (VALUES (1), (2), (900000000)) t(k)")
+def lineage_exists(spark, sf):
+    h = history(spark, sf)
+    wanted = spark.createDataFrame([("1",), ("2",), ("900000000",)], "id string")
+    own = h.select(lineage.TRAINING).select("id", F.lit(True).alias("own"))
+    return wanted.join(own, "id", "left").select("id", F.coalesce("own", F.lit(False)).alias("there"))
+
+
+@query("SELECT * FROM (VALUES ('3', '1'), ('3', '2')) t(\"at\", next)")
 def lineage_parents(spark, sf):
-    h = lineage.Lineage(spark.createDataFrame([("Data_Version", v, {}) for v in ("v1", "v2", "v3")], lineage.NODES), spark.createDataFrame([], lineage.EDGES))
-    h = h.create_edges("MERGE_DATA", spark.createDataFrame([("v1", "v3"), ("v2", "v3"), ("gone", "v3")], "src string, dst string"))
-    return h.parents(spark.createDataFrame([("v3",)], "at string")).select("at", "next")
+    return family(spark).parents(spark.createDataFrame([("3",)], "at string")).select("at", "next")
+
+
+def family(spark) -> lineage.Lineage:
+    """Data versions 1 to 5 and trainings 1 to 3: 3 is merged from 1 and 2, 4 filtered from
+    3 and merged from 1, training 3 transferred from 1 and 2."""
+    nodes = [(lineage.DATA, str(k), {}) for k in range(1, 6)] + [(lineage.TRAINING, str(k), {}) for k in range(1, 4)]
+    h = lineage.Lineage(spark.createDataFrame(nodes, lineage.NODES), spark.createDataFrame([], lineage.EDGES))
+    pairs = lambda *of: spark.createDataFrame(list(of), "src string, dst string")
+    h = h.create_edges("MERGE_DATA", lineage.DATA, lineage.DATA, pairs(("1", "3"), ("2", "3"), ("9", "3"), ("1", "4"))).create_edges("FILTER_DATA", lineage.DATA, lineage.DATA, pairs(("3", "4")), {"filter_conditions": "labels"})
+    return h.create_edges("TRAINING_TRANSFER", lineage.TRAINING, lineage.TRAINING, pairs(("1", "3"), ("2", "3"), ("5", "3")))
+
+
+@query("SELECT * FROM (VALUES ('3', '1', 'MERGE_DATA'), ('3', '2', 'MERGE_DATA'), ('4', '3', 'FILTER_DATA')) t(\"at\", next, edge_name)")
+def lineage_parents_many(spark, sf):
+    return family(spark).parents(spark.createDataFrame([("3",), ("4",), ("5",)], "at string"))
+
+
+@query("SELECT * FROM (VALUES ('T3', '1', 'TRAINING_TRANSFER'), ('T3', '2', 'TRAINING_TRANSFER')) t(\"at\", next, edge_name)")
+def transfer_parents(spark, sf):
+    return family(spark).transfer_parents(spark.createDataFrame([("T3",), ("1",)], "at string"))
+
+
+@query("SELECT k AS inference, [d, 'M' || m, 'T' || k, 'I' || k] AS indices, ['Dataset: ' || d, 'Model: M' || m, 'Training: T' || k, 'Inference: I' || k] AS labels, ['dataset', 'model', 'training', 'inference'] AS classes, [[d, 'T' || k], ['M' || m, 'T' || k], ['T' || k, 'I' || k]] AS edges, ['DATA_TRAINING', 'MODEL_TRAINING', 'DEPLOY'] AS eprobs FROM (SELECT s_suppkey::VARCHAR AS k, (s_suppkey % 9)::VARCHAR AS m, s_nationkey::VARCHAR AS d FROM supplier WHERE s_suppkey % 2 = 0)")
+def pipeline_graph(spark, sf):
+    h = history(spark, sf)
+    return h.pipeline_graphs(h.start(lineage.INFERENCE))
+
+
+@query("SELECT * FROM (VALUES ('3', ['1', '2'], ['Dataset: 1', 'Dataset: 2'], ['dataset', 'dataset'], [['1', '3'], ['2', '3']], ['MERGE_DATA', 'MERGE_DATA']), ('4', ['3'], ['Dataset: 3'], ['dataset'], [['3', '4']], ['FILTER_DATA'])) t(\"at\", indices, labels, classes, edges, eprobs)")
+def pipeline_graph_of_data(spark, sf):
+    h = family(spark)
+    return h.parent_graphs(h.parents(spark.createDataFrame([("3",), ("4",), ("5",)], "at string")))
 
 
 @query("WITH j AS (SELECT p_partkey, p_brand, p_type, p_size FROM part) SELECT * FROM j WHERE p_brand = 'Brand#11' UNION ALL SELECT * FROM j WHERE p_size = 5 UNION ALL SELECT * FROM j WHERE p_type = (SELECT min(p_type) FROM part)")

@@ -139,14 +139,17 @@ def test_average_precision_by_hand(spark):
 
 
 def test_lineage_merges_and_paths(spark):
-    n = spark.createDataFrame([("D", "d1", {"v": "1"}), ("D", "d1", {"v": "1"}), ("T", "t1", {})], lineage.NODES)
+    n = spark.createDataFrame([("D", "1", {"v": "1"}), ("D", "1", {"v": "1"}), ("T", "1", {}), ("M", "1", {})], lineage.NODES)
     h = lineage.Lineage.empty(spark).merge_nodes(n).merge_nodes(n)
-    pairs = spark.createDataFrame([("d1", "t1"), ("d1", "gone")], "src string, dst string")
-    twice = h.create_edges("X", pairs).create_edges("X", pairs)
-    once = h.create_edges("X", pairs, once=True).create_edges("X", pairs, once=True)
-    assert (h.nodes.count(), twice.edges.count(), once.edges.count()) == (2, 2, 1)
+    pairs = spark.createDataFrame([("1", "1"), ("1", "gone")], "src string, dst string")
+    twice = h.create_edges("X", "D", "T", pairs).create_edges("X", "D", "T", pairs)
+    once = h.create_edges("X", "D", "T", pairs, once=True).create_edges("X", "D", "T", pairs, once=True).create_edges("X", "M", "T", pairs, once=True)
+    assert (h.nodes.count(), twice.edges.count(), once.edges.count()) == (3, 2, 2)
     assert h.exists("D", v="1") and not h.exists("D", v="2")
-    assert once.detach(spark.createDataFrame([("t1",)], "id string")).edges.isEmpty()
+    assert [tuple(r) for r in once.step(once.start("D"), "X").collect()] == [("D", "1", "T", "1")]
+    left = once.detach(spark.createDataFrame([("D", "1")], "label string, id string"))
+    assert [r.src_label for r in left.edges.collect()] == ["M"] and {r.label for r in left.nodes.collect()} == {"T", "M"}
+    assert once.detach(spark.createDataFrame([("T", "1")], "label string, id string")).edges.isEmpty()
 
 
 def test_archive_round_trip(spark, tmp_path):
