@@ -22,10 +22,15 @@ def first_label_accuracy(truth: DataFrame, predicted: DataFrame, name: str, orde
     return accuracy(a.join(b, name), "t", "p")
 
 
-def mean_fps(rows: DataFrame, order: str, fps: str = "fps") -> DataFrame:
-    """The mean of fps without the first row by order; 0 without any."""
+def mean_fps(rows: DataFrame, fps: str = "fps") -> DataFrame:
+    """The mean of fps; 0 without any."""
+    return rows.agg(F.coalesce(F.avg(fps), F.lit(0.0)).alias("fps"))
+
+
+def mean_fps_without_first(rows: DataFrame, order: str, fps: str = "fps") -> DataFrame:
+    """mean_fps of all but the first row by order, in which a model warms up."""
     first = rows.agg(F.min(order)).first()[0]
-    return rows.filter(F.col(order) > F.lit(first)).agg(F.coalesce(F.avg(fps), F.lit(0.0)).alias("fps"))
+    return mean_fps(rows.filter(F.col(order) > F.lit(first)), fps)
 
 
 def overlap(a: str, b: str):

@@ -23,10 +23,13 @@ def training_edges(vertices: DataFrame, edges: DataFrame, sample: int = -1, seed
 
 
 def propagated(weights: DataFrame, features: DataFrame, width: int) -> DataFrame:
-    """(id, features): for each dst the weighted sum of its sources' feature arrays."""
+    """(id, features): for each dst the weighted sum of its sources' feature arrays. Summed
+    by dimension, partly in the map tasks, whatever the width; only the sums are gathered."""
     joined = weights.join(features, weights["src"] == features["id"])
-    sums = joined.groupBy("dst").agg(*[F.sum(F.col("weight") * F.col("features")[k]).alias(f"_{k}") for k in range(width)])
-    return sums.select(F.col("dst").alias("id"), F.array(*[f"_{k}" for k in range(width)]).alias("features"))
+    each = joined.select("dst", "weight", F.posexplode(F.slice("features", 1, width)).alias("k", "x"))
+    sums = each.groupBy("dst", "k").agg(F.sum(F.col("weight") * F.col("x")).alias("x"))
+    lists = sums.groupBy("dst").agg(F.sort_array(F.collect_list(F.struct("k", "x"))).alias("by_k"))
+    return lists.select(F.col("dst").alias("id"), F.transform("by_k", lambda e: e["x"]).alias("features"))
 
 
 def appnp(weights: DataFrame, features: DataFrame, width: int, rounds: int, alpha: float = 0.5) -> DataFrame:

@@ -2,20 +2,23 @@
 
 A vertex is known by its type number and key. Edges are rows (src_type, src, dst_type, dst,
 properties); new ones go to the delta, which merge() folds into the main part, dealt out
-and sorted by source. Both parts together are the graph, whatever has been merged.
+and sorted by source. Both parts together are the graph, whatever has been merged. Edges
+that only one direction's lists have are marked in the column WAY.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import written
 from .tables import first_per_key
 
 ENDS = ["src_type", "src", "dst_type", "dst"]
+EDGES, VERTICES, KEYS = "src_type int, src long, dst_type int, dst long", "vpid int, key long", "vpid int, key long"
+WAY = "_way"  # "out" or "in" for edges of one direction's lists only, else null
 
 
 class GraphError(ValueError):
@@ -63,15 +66,15 @@ class PropertyGraph:
 
     def keys(self) -> DataFrame:
         """(vpid, key) of all vertices."""
-        parts = [t.rows.select(F.lit(k).alias("vpid"), F.col(t.key).cast("long").alias("key")) for k, t in enumerate(self.types)]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
+        out = _empty(KEYS) if not self.types else None
+        for k, t in enumerate(self.types):
+            rows = t.rows.select(F.lit(k).alias("vpid"), F.col(t.key).cast("long").alias("key"))
+            out = rows if out is None else out.unionByName(rows)
         return out
 
     def vertices(self) -> DataFrame:
         """All types' rows with vpid and key; a type's missing fields are null."""
-        out = None
+        out = _empty(VERTICES) if not self.types else None
         for k, t in enumerate(self.types):
             rows = t.rows.select(F.lit(k).alias("vpid"), F.col(t.key).cast("long").alias("key"), *[c for c in t.rows.columns if c != t.key])
             out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
@@ -90,10 +93,24 @@ class PropertyGraph:
         return self.keys().groupBy("vpid").agg(F.count("*").alias("vertices"))
 
     # -- edges
-    def edges(self) -> DataFrame:
-        if self.main is None or self.delta is None:
-            return self.main if self.delta is None else self.delta
-        return self.main.unionByName(self.delta)
+    def stored(self) -> DataFrame:
+        """All edge rows of both parts, with the properties that any insertion had."""
+        parts = [p for p in (self.main, self.delta) if p is not None] or [_empty(EDGES)]
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p, allowMissingColumns=True)
+        return out
+
+    def edges(self, incoming: bool = False) -> DataFrame:
+        """The edges of the outgoing (or incoming) lists; no rows for a graph without edges."""
+        rows = self.stored()
+        if WAY not in rows.columns:
+            return rows
+        return rows.filter(F.col(WAY).isNull() | (F.col(WAY) == ("in" if incoming else "out"))).drop(WAY)
+
+    def truncate(self) -> PropertyGraph:
+        """The definitions without vertices and edges."""
+        return replace(self, types=tuple(replace(t, rows=t.rows.limit(0)) for t in self.types), main=None, delta=None, edge_fields=())
 
     def dangling(self, new: DataFrame) -> DataFrame:
         """The rows of new with an end that is no vertex."""
@@ -101,35 +118,68 @@ class PropertyGraph:
         both = new.join(known.toDF("src_type", "src"), ["src_type", "src"], "left_semi").join(known.toDF("dst_type", "dst"), ["dst_type", "dst"], "left_semi")
         return new.exceptAll(both.select(*new.columns))
 
-    def insert_edges(self, new: DataFrame, checked: bool = True) -> PropertyGraph:
+    def insert_edges(self, new: DataFrame, checked: bool = True, ignore_in: bool = False, only_in: bool = False) -> PropertyGraph:
         """Append to the delta; repeated edges are kept. checked: only edges between
-        vertices are taken."""
+        vertices are taken. A later insertion may have other properties; what a row lacks
+        is null. ignore_in: not in the incoming lists; only_in: only there, where src names
+        the vertex whose list it is (nothing is written if the graph keeps no such lists)."""
         if missing := [c for c in ENDS if c not in new.columns]:
             raise GraphError(f"edges lack {missing}")
+        if only_in and (not self.incoming or ignore_in):
+            return self
         if checked:
             known = self.keys()
             new = new.join(known.toDF("src_type", "src"), ["src_type", "src"], "left_semi").join(known.toDF("dst_type", "dst"), ["dst_type", "dst"], "left_semi")
-        new = new.select(*ENDS, *[c for c in new.columns if c not in ENDS])
-        fields = tuple(c for c in new.columns if c not in ENDS)
-        return replace(self, delta=new if self.delta is None else self.delta.unionByName(new), edge_fields=fields)
+        fields = [c for c in new.columns if c not in ENDS]
+        ends = ["dst_type", "dst", "src_type", "src"] if only_in else ENDS
+        new = new.select(*[F.col(a).alias(b) for a, b in zip(ends, ENDS)], *fields)
+        if only_in or ignore_in and self.incoming:
+            new = new.withColumn(WAY, F.lit("in" if only_in else "out"))
+        delta = new if self.delta is None else self.delta.unionByName(new, allowMissingColumns=True)
+        return replace(self, delta=delta, edge_fields=tuple(dict.fromkeys((*self.edge_fields, *fields))))
 
     def edge_counts(self) -> DataFrame:
         return self.edges().groupBy("src_type", "dst_type").agg(F.count("*").alias("edges"))
 
-    def merge(self, parts: int | None = None) -> PropertyGraph:
+    def merge(self, parts: int | None = None, least: int = 0, per_part: int | None = None) -> PropertyGraph:
         """Fold the delta into the main part: dealt out by source range, sorted in each part,
-        and written, so later scans by source skip most row groups."""
+        and written, so later scans by source skip most row groups. Edges of source types
+        with fewer than least new edges stay in the delta; per_part sets the parts' number
+        by the edges that each shall hold."""
         if self.delta is None:
             return self
-        ranged = self.edges().repartitionByRange(*([parts] if parts else []), "src_type", "src").sortWithinPartitions("src_type", "src", "dst_type", "dst")
-        return replace(self, main=written(ranged, f"{self.name}-main"), delta=None)
+        ready, rest = self, None
+        if least:
+            many = self.delta.groupBy("src_type").agg(F.count("*").alias("n")).filter(F.col("n") >= least).select("src_type").collect()  # at most a row for each vertex type
+            kinds = [r.src_type for r in many]
+            if not kinds:
+                return self
+            inside = F.col("src_type").isin(kinds)
+            ready, rest = replace(self, delta=self.delta.filter(inside)), self.delta.filter(~inside)
+        rows = ready.stored()
+        if per_part:
+            parts = max(1, -(-rows.count() // per_part))
+        ranged = rows.repartitionByRange(*([parts] if parts else []), "src_type", "src").sortWithinPartitions("src_type", "src", "dst_type", "dst")
+        return replace(self, main=written(ranged, f"{self.name}-main"), delta=rest)
+
+    def order_faults(self) -> DataFrame:
+        """(faults): neighbours of the main part's files that are out of order, and files
+        whose source ranges overlap the next file's."""
+        if self.main is None:
+            return _empty("faults long").agg(F.count("*").alias("faults"))
+        at = F.struct(*ENDS)
+        rows = self.main.select("_metadata.file_path", "_metadata.row_index", at.alias("at"))
+        inside = rows.withColumn("before", F.lag("at").over(Window.partitionBy("file_path").orderBy("row_index"))).filter("before > at").agg(F.count("*").alias("n"))
+        files = rows.groupBy("file_path").agg(F.min("at").alias("low"), F.max("at").alias("high"))  # one row for each file
+        across = files.withColumn("before", F.lag("high").over(Window.orderBy("low"))).filter(F.struct("before.src_type", "before.src") >= F.struct("low.src_type", "low.src")).agg(F.count("*").alias("n"))
+        return inside.unionAll(across).agg(F.sum("n").alias("faults"))
 
     # -- neighbours
     def directed(self, incoming: bool) -> DataFrame:
         """Edges as (type, key, other_type, other, properties), by source or by destination."""
         if incoming and not self.incoming:
             raise GraphError(f"{self.name} has no incoming edges")
-        e = self.edges()
+        e = self.edges(incoming)
         names = ["dst_type", "dst", "src_type", "src"] if incoming else ENDS
         return e.select(*[F.col(a).alias(b) for a, b in zip(names, ["type", "key", "other_type", "other"])], *self.edge_fields)
 
@@ -146,6 +196,28 @@ class PropertyGraph:
         return joined.select(*[t.rows[c] for c in (fields or t.rows.columns)], *[own[c] for c in first])
 
 
+def _empty(schema: str) -> DataFrame:
+    return SparkSession.active().createDataFrame([], schema)
+
+
+@dataclass
+class GraphStore:
+    """Graphs by name."""
+
+    graphs: dict[str, PropertyGraph] = field(default_factory=dict)
+
+    def put(self, graph: PropertyGraph, new: bool = False) -> PropertyGraph:
+        if new and graph.name in self.graphs:
+            raise GraphError(f"graph {graph.name} exists")
+        self.graphs[graph.name] = graph
+        return graph
+
+    def drop(self, name: str, if_exists: bool = False) -> None:
+        if name not in self.graphs and not if_exists:
+            raise GraphError(f"no graph {name}")
+        self.graphs.pop(name, None)
+
+
 def neighbourhood(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """(src, dst) with an end among seeds (vid), in either direction, each edge row once."""
     s = seeds.select(F.col("vid").alias("_s")).distinct().withColumn("_hit", F.lit(True))

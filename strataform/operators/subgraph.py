@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .tables import numbered
 
@@ -22,6 +23,19 @@ class SubGraph:
         return self.nodes.join(vertices, self.nodes["vid"] == vertices[key]).select("new_id", *[vertices[f] for f in fields])
 
 
+    def flattened(self, vertices: DataFrame, key: str, field: str) -> DataFrame:
+        """(new_id, pos, value): a property's values in the nodes' order, an element for each
+        row where it is a list (pos from 0), so that no row grows with the graph."""
+        rows = self.properties(vertices, key, [field])
+        if isinstance(rows.schema[field].dataType, T.ArrayType):
+            return rows.select("new_id", F.posexplode(field).alias("pos", "value"))
+        return rows.select("new_id", F.lit(0).alias("pos"), F.col(field).alias("value"))
+
+    def vector_size(self, vertices: DataFrame, key: str, field: str) -> DataFrame:
+        """(size): the length of the first node's list."""
+        return self.properties(vertices, key, [field]).agg(F.min_by(F.size(field), "new_id").alias("size"))
+
+
 def induced(edges: DataFrame, seeds: DataFrame) -> SubGraph:
     """Edges with both ends among seeds (vid), repeats kept; nodes without such an edge
     are left out; new ids follow the keys."""

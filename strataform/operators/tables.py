@@ -128,6 +128,12 @@ class Table:
             new = new.join(self.rows.select(key), key, "left_anti").select(*self.rows.columns)
         return replace(self, rows=self.rows.unionByName(new))
 
+    def insert_at(self, new: DataFrame, slot: str = "rid") -> Table:
+        """Append rows at the places that their column slot gives; rows for a place that is
+        taken, or that an earlier one of new has taken, are left out."""
+        rows = first_per_key(new.select(*self.rows.columns), [slot], [c for c in self.rows.columns if c != slot])
+        return replace(self, rows=self.rows.unionByName(rows.join(self.rows.select(slot), slot, "left_anti").select(*self.rows.columns)))
+
     def update(self, condition: Column, values: dict[str, Column]) -> Table:
         return replace(self, rows=self.rows.withColumns({c: F.when(condition, v).otherwise(F.col(c)) for c, v in values.items()}))
 

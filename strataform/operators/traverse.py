@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import checkpointed
+from .running import running_totals
 from .tables import numbered
 
 UNIT = 2**53
@@ -22,29 +23,47 @@ def unit_hash(*cols):
 
 
 def indexed(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(src, place, dst) with places from 0 for each source, and (src, degree)."""
-    placed = edges.select("src", "dst", (F.row_number().over(Window.partitionBy("src").orderBy("dst")) - 1).alias("place"))
-    return placed, edges.groupBy("src").agg(F.count("*").alias("degree"))
+    """(src, place, dst) with places from 0 for each source, and (src, degree). A hub's
+    places are counted by ranges of its edges, not in one task."""
+    placed = running_totals(edges.select("src", "dst"), ["src"], ["dst"], {"place": F.lit(1).cast("long")})
+    return placed.withColumn("place", F.col("place") - 1), edges.groupBy("src").agg(F.count("*").alias("degree"))
 
 
 def restart_walks(edges: DataFrame, seeds: DataFrame, steps: int, restart: float = 0.2, seed: int = 0) -> DataFrame:
-    """(walk, step, vid): a walk from each row of seeds (vid) of steps vertices. With the
-    restart probability, and at a dead end, the next vertex is the seed again."""
+    """(walk, step, vid): a walk of steps vertices from each row of seeds (vid, and walk if
+    its name is not the vid). With the restart probability, and at a dead end, the next
+    vertex is the first again."""
     placed, degrees = indexed(edges)
     placed, degrees = checkpointed(placed), checkpointed(degrees)
-    at = seeds.select(F.col("vid").alias("walk"), F.lit(0).alias("step"), F.col("vid").alias("vid"))
+    at = seeds.select((F.col("walk") if "walk" in seeds.columns else F.col("vid")).alias("walk"), F.col("vid").alias("home"), F.lit(0).alias("step"), F.col("vid").alias("vid"))
     out = [at]
     for k in range(1, steps):
         drawn = at.join(degrees, at["vid"] == degrees["src"], "left").select(
-            "walk", "vid", (unit_hash("walk", F.lit(k), F.lit(seed)) < restart).alias("back"), F.floor(unit_hash("walk", F.lit(k), F.lit(seed + 1)) * F.col("degree")).cast("int").alias("pick")
+            "walk", "home", "vid", (unit_hash("walk", F.lit(k), F.lit(seed)) < restart).alias("back"), F.floor(unit_hash("walk", F.lit(k), F.lit(seed + 1)) * F.col("degree")).cast("long").alias("pick")
         )
         hop = drawn.join(placed, (drawn["vid"] == placed["src"]) & (drawn["pick"] == placed["place"]), "left")
-        at = checkpointed(hop.select("walk", F.lit(k).alias("step"), F.when(F.col("back"), F.col("walk")).otherwise(F.coalesce("dst", "walk")).alias("vid")))
+        at = checkpointed(hop.select("walk", "home", F.lit(k).alias("step"), F.when(F.col("back"), F.col("home")).otherwise(F.coalesce("dst", "home")).alias("vid")))
         out.append(at)
     done = out[0]
     for part in out[1:]:
         done = done.unionByName(part)
-    return done
+    return done.select("walk", "step", "vid")
+
+
+def walk_samples(edges: DataFrame, starts: DataFrame, steps: int, tries: int = 3, restart: float = 0.2, seed: int = 0, enough: int = 3) -> DataFrame:
+    """(start, vid): the vertices sampled from each of starts (vid). Walks from the start are
+    repeated, up to tries times, until they have met enough vertices; then one walk goes
+    from each vertex met."""
+    named = lambda a, b: F.struct(F.col(a).alias("start"), F.col(b).alias("n"))
+    first = starts.select("vid").distinct().select("vid", F.explode(F.sequence(F.lit(1), F.lit(tries))).alias("try"))
+    walked = restart_walks(edges, first.select(named("vid", "try").alias("walk"), "vid"), steps, restart, seed)
+    met = walked.groupBy(F.col("walk.start").alias("start"), "vid").agg(F.min("walk.n").alias("try"))
+    counts = met.groupBy("start", "try").agg(F.count("*").alias("n"))  # at most tries rows for each start
+    so_far = counts.withColumn("seen", F.sum("n").over(Window.partitionBy("start").orderBy("try")))
+    last = so_far.filter(F.col("seen") >= enough).groupBy("start").agg(F.min("try").alias("last"))
+    met = checkpointed(met.join(last, "start", "left").filter(F.col("try") <= F.coalesce("last", F.lit(tries))).select("start", "vid"))
+    again = restart_walks(edges, met.select(named("start", "vid").alias("walk"), "vid"), steps, restart, seed + 2)
+    return met.union(again.select("walk.start", "vid")).distinct()
 
 
 def sampled_neighbours(edges: DataFrame, seeds: DataFrame, fanout: int, seed: int = 0) -> DataFrame:

@@ -93,3 +93,22 @@ def predictions_of(items: DataFrame, predictions: DataFrame, key: str) -> DataFr
     """Predicted items with scores; stamps such as 20240131_120000_123456 are read."""
     joined = items.join(predictions, key)
     return joined.withColumn("stamp", F.try_to_timestamp(F.col("stamp"), F.lit("yyyyMMdd_HHmmss_SSSSSS")))
+
+
+def filtered_predictions(images: DataFrame, predictions: DataFrame, key: str, name: str, label: str, file_names: str | None = None, labels: str | None = None, only_predicted: bool = True) -> DataFrame:
+    """Images joined with their predictions, a row for each. file_names and labels are lists
+    with commas, blanks around the parts ignored. Without labels, images without predictions
+    are kept if only_predicted is false; with labels, only images with such predictions."""
+    parts = lambda text: [p.strip() for p in text.split(",")]
+    if file_names:
+        images = images.filter(F.col(name).isin(parts(file_names)))
+    if labels:
+        predictions = predictions.filter(F.col(label).isin(parts(labels)))
+    return images.join(predictions, key, "inner" if labels or only_predicted else "left")
+
+
+def regrouped_by_name(images: DataFrame, predictions: DataFrame, key: str, name: str, fields: list[str]) -> DataFrame:
+    """(name, predictions): the sorted prediction structs of all images of a name, none for
+    names whose images have no predictions."""
+    rows = images.select(key, name).join(predictions.select(key, F.struct(*fields).alias("one")), key, "left")
+    return rows.groupBy(name).agg(F.sort_array(F.collect_list("one")).alias("predictions"))

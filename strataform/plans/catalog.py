@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import graph_queries, table_queries, version_queries
+from . import file_queries, graph_queries, table_queries, version_queries
 
-PARTS = (table_queries, graph_queries, version_queries)
+PARTS = (table_queries, file_queries, graph_queries, version_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -22,11 +22,10 @@ def sales(spark, sf) -> PropertyGraph:
     g = PropertyGraph("sales")
     for name, key, fields in (("customer", "c_custkey", ["c_name", "c_nationkey"]), ("supplier", "s_suppkey", ["s_name"]), ("part", "p_partkey", ["p_name", "p_size"]), ("orders", "o_orderkey", ["o_totalprice"])):
         g = g.define_vertex(name, read(spark, sf, name).select(key, *fields), key)
-    orders = read(spark, sf, "orders").select(F.lit(0).alias("src_type"), F.col("o_custkey").alias("src"), F.lit(3).alias("dst_type"), F.col("o_orderkey").alias("dst"), F.lit(None).cast("double").alias("quantity"))
-    lines = read(spark, sf, "lineitem")
-    to_part = lines.select(F.lit(3).alias("src_type"), F.col("l_orderkey").alias("src"), F.lit(2).alias("dst_type"), F.col("l_partkey").alias("dst"), F.col("l_quantity").alias("quantity"))
-    supplies = lines.select(F.lit(1).alias("src_type"), F.col("l_suppkey").alias("src"), F.lit(2).alias("dst_type"), F.col("l_partkey").alias("dst"), F.col("l_quantity").alias("quantity"))
-    return g.insert_edges(orders.unionAll(to_part).unionAll(supplies), checked=False)
+    edge = lambda a, src, b, dst, quantity: F.struct(F.lit(a).alias("src_type"), F.col(src).alias("src"), F.lit(b).alias("dst_type"), F.col(dst).alias("dst"), quantity.alias("quantity"))
+    orders = read(spark, sf, "orders").select(F.inline(F.array(edge(0, "o_custkey", 3, "o_orderkey", F.lit(None).cast("double")))))
+    lines = read(spark, sf, "lineitem").select(F.inline(F.array(edge(3, "l_orderkey", 2, "l_partkey", F.col("l_quantity")), edge(1, "l_suppkey", 2, "l_partkey", F.col("l_quantity")))))
+    return g.insert_edges(orders.unionAll(lines), checked=False)
 
 
 SALES = """WITH edges AS (
@@ -121,6 +120,33 @@ def delta_main_merge(spark, sf):
     return out.merge().edges().groupBy("src_type", "src").agg(F.count("*").alias("edges"))
 
 
+@query(SALES + "SELECT src_type, src, count(*) AS edges FROM edges GROUP BY src_type, src")
+def delta_merge_by_threshold(spark, sf):
+    g = sales(spark, sf)
+    out = PropertyGraph("parted", g.types).insert_edges(g.edges().filter("src_type <> 0"), False).merge(per_part=20000).insert_edges(g.edges().filter("src_type = 0"), False)
+    return out.merge(least=10**12).edges().groupBy("src_type", "src").agg(F.count("*").alias("edges"))
+
+
+@query("SELECT 0::BIGINT AS faults")
+def main_order_faults(spark, sf):
+    return sales(spark, sf).merge(5).order_faults()
+
+
+ONE_WAY = SALES + """, out_ AS (SELECT 'out' AS way, src_type AS type, src AS key, dst AS other FROM edges WHERE src_type <> 3),
+in_ AS (SELECT 'in' AS way, dst_type AS type, dst AS key, src AS other FROM edges WHERE src_type = 1 UNION ALL SELECT 'in', 3, l_orderkey, l_partkey FROM lineitem)
+SELECT way, type, count(*) AS n, sum(key)::BIGINT AS keys, sum(other)::BIGINT AS others FROM (SELECT * FROM out_ UNION ALL SELECT * FROM in_) GROUP BY way, type"""
+
+
+@query(ONE_WAY)
+def one_way_edges(spark, sf):
+    """Orders' edges only in the incoming lists (as given), customers' only in the outgoing."""
+    g = sales(spark, sf)
+    e = g.edges()
+    out = PropertyGraph("ways", g.types).insert_edges(e.filter("src_type = 1"), False).insert_edges(e.filter("src_type = 0"), False, ignore_in=True).insert_edges(e.filter("src_type = 3"), False, only_in=True)
+    sums = lambda way, rows: rows.groupBy(F.lit(way).alias("way"), "type").agg(F.count("*").alias("n"), F.sum("key").alias("keys"), F.sum("other").alias("others"))
+    return sums("out", out.directed(False)).unionAll(sums("in", out.directed(True)))
+
+
 INSIDE = "inside AS (SELECT src, dst FROM links WHERE src % 3 = 1 AND dst % 3 = 1), nodes AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS new_id FROM (SELECT DISTINCT unnest([src, dst]) AS v FROM inside)) "
 
 
@@ -134,6 +160,18 @@ def subgraph_node_data(spark, sf):
     return subgraph.induced(part_links(spark, sf), seeds(spark, sf, 3)).properties(read(spark, sf, "part"), "p_partkey", ["p_name", "p_size"])
 
 
+@query("WITH " + LINKS + ", " + INSIDE + "SELECT new_id, pos, CASE WHEN pos = 0 THEN p_size ELSE p_size * 2 END::DOUBLE AS value FROM nodes JOIN part ON p_partkey = v, (VALUES (0), (1)) t(pos)")
+def subgraph_flattened(spark, sf):
+    part = read(spark, sf, "part").withColumn("vector", F.array(F.col("p_size").cast("double"), F.col("p_size") * 2.0))
+    return subgraph.induced(part_links(spark, sf), seeds(spark, sf, 3)).flattened(part, "p_partkey", "vector")
+
+
+@query("SELECT 2 AS size")
+def subgraph_vector_size(spark, sf):
+    part = read(spark, sf, "part").withColumn("vector", F.array(F.col("p_size").cast("double"), F.col("p_size") * 2.0))
+    return subgraph.induced(part_links(spark, sf), seeds(spark, sf, 3)).vector_size(part, "p_partkey", "vector")
+
+
 @query(SALES + "SELECT (src_type::BIGINT << 32) + dst_type AS edge_type, count(*) AS edges FROM edges WHERE src % 2 = 0 AND dst % 2 = 0 GROUP BY 1")
 def subgraph_edge_types(spark, sf):
     g = sales(spark, sf)
@@ -201,8 +239,14 @@ def random_walk(spark, sf):
 
 @query()
 def random_walk_subgraph(spark, sf):
-    walks = traverse.restart_walks(part_links(spark, sf), seeds(spark, sf, 50), 6, 0.2, 11)
-    return subgraph.induced(part_links(spark, sf), walks.select("vid")).edges
+    sampled = traverse.walk_samples(part_links(spark, sf), seeds(spark, sf, 400), 6, 3, 0.2, 11)
+    return subgraph.induced(part_links(spark, sf), sampled.select("vid")).edges
+
+
+@query()
+def random_walk_node_data(spark, sf):
+    sampled = traverse.walk_samples(part_links(spark, sf), seeds(spark, sf, 400), 6, 3, 0.2, 11)
+    return subgraph.induced(part_links(spark, sf), sampled.select("vid")).properties(read(spark, sf, "part"), "p_partkey", ["p_name", "p_size"])
 
 
 @query()
@@ -215,9 +259,9 @@ def neighbor_sample_all(spark, sf):
     return traverse.sampled_neighbours(part_links(spark, sf), seeds(spark, sf, 20), -1)
 
 
-@query("WITH RECURSIVE " + LINKS + ", e AS (SELECT DISTINCT src, dst FROM links), walk AS (SELECT 1::BIGINT AS vid, 0 AS level UNION SELECT dst, level + 1 FROM walk JOIN e ON src = vid WHERE level < 4) SELECT vid, min(level) AS level FROM walk GROUP BY vid")
+@query("WITH RECURSIVE " + LINKS + ", e AS (SELECT DISTINCT src, dst FROM links), walk AS (SELECT 1::BIGINT AS vid, 0 AS level UNION SELECT dst, level + 1 FROM walk JOIN e ON src = vid WHERE level < 12) SELECT vid, min(level) AS level FROM walk GROUP BY vid")
 def bfs_levels(spark, sf):
-    return traverse.bfs_levels(part_links(spark, sf), spark.createDataFrame([(1,)], "vid long"), 4)
+    return traverse.bfs_levels(part_links(spark, sf), spark.createDataFrame([(1,)], "vid long"))
 
 
 @query("WITH " + LINKS + ", e AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM links WHERE src <> dst), t AS (SELECT x.a AS u, x.b AS v, y.b AS w FROM e x JOIN e y ON x.b = y.a JOIN e z ON z.a = x.a AND z.b = y.b) SELECT vid, count(*) AS triangles FROM (SELECT unnest([u, v, w]) AS vid FROM t) GROUP BY vid")

@@ -158,3 +158,10 @@ def time_addition(spark, sf):
 @query("SELECT event_id, (props::JSON ->> '$.k')::BIGINT AS k FROM events")
 def json_fields(spark, sf):
     return read(spark, sf, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
+
+
+@query("SELECT s_suppkey AS rid, s_name AS name FROM supplier UNION ALL SELECT s_suppkey + 5, min('new ' || s_name) FROM supplier WHERE s_suppkey + 5 NOT IN (SELECT s_suppkey FROM supplier) GROUP BY s_suppkey")
+def insert_at_slots(spark, sf):
+    t = Table("s", read(spark, sf, "supplier").select(F.col("s_suppkey").alias("rid"), F.col("s_name").alias("name")))
+    new = t.rows.select((F.col("rid") + 5).alias("rid"), F.concat(F.lit("new "), "name").alias("name"))
+    return t.insert_at(new.unionAll(new)).rows

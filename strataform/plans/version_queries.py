@@ -126,11 +126,67 @@ def predictions_with_stamps(spark, sf):
 
 
 @query("SELECT count(*) AS images, count(*) FILTER (WHERE n IS NULL) AS without, coalesce(sum(o), 0)::BIGINT AS objects, coalesce(sum(n), 0) / count(*) AS per_image FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n, count(*) FILTER (WHERE l_returnflag = 'N') AS o FROM lineitem WHERE l_linenumber > 2 GROUP BY 1) ON l_orderkey = o_orderkey")
-def predict_profile(spark, sf):
+def version_profile(spark, sf):
     notes = read(spark, sf, "lineitem").filter("l_linenumber > 2").select(F.col("l_orderkey").alias("o_orderkey"), F.when(F.col("l_returnflag") == "N", "object").otherwise("line").alias("kind"))
     return profiles.version_profile(read(spark, sf, "orders"), notes, "o_orderkey", "kind")
 
 
+PREDICTED = "(SELECT l_orderkey, count(*) FILTER (WHERE l_returnflag = 'N') AS o FROM lineitem WHERE l_linenumber > 2 GROUP BY 1)"
+
+
+def predicted(spark, sf):
+    """Orders as images, later lineitems as predictions."""
+    images = read(spark, sf, "orders").select("o_orderkey", F.col("o_totalprice").alias("fps"), F.col("o_orderpriority").alias("name"))
+    found = read(spark, sf, "lineitem").filter("l_linenumber > 2").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_returnflag").alias("label"), F.col("l_linenumber").alias("number"), F.when(F.col("l_returnflag") == "N", "object").otherwise("line").alias("kind"))
+    return images, found
+
+
+@query(f"SELECT count(*) AS images, count(*) FILTER (WHERE o IS NULL) AS without, coalesce(sum(o), 0)::BIGINT AS objects, coalesce(sum(o), 0) / count(*) AS per_image, round(avg(o_totalprice), 4) AS fps FROM orders LEFT JOIN {PREDICTED} ON l_orderkey = o_orderkey")
+def predict_profile(spark, sf):
+    return profiles.predict_profile(*predicted(spark, sf), "o_orderkey", "kind", "fps").withColumn("fps", F.round("fps", 4))
+
+
+@query("SELECT label, n FROM (SELECT l_returnflag AS label, count(*) AS n FROM lineitem WHERE l_linenumber > 2 GROUP BY 1 UNION ALL SELECT 'none', 0)")
+def predict_label_counts(spark, sf):
+    found = predicted(spark, sf)[1]
+    categories = found.select("label").distinct().unionAll(spark.createDataFrame([("none",)], "label string"))
+    return profiles.label_counts(categories, found, "label")
+
+
+@query("SELECT o_orderkey, name, label, number FROM (SELECT o_orderkey, o_orderpriority AS name FROM orders) JOIN (SELECT l_orderkey, l_returnflag AS label, l_linenumber AS number FROM lineitem WHERE l_linenumber > 2) ON l_orderkey = o_orderkey WHERE name IN ('1-URGENT', '5-LOW') AND label IN ('N', 'R')")
+def filtered_predictions(spark, sf):
+    images, found = predicted(spark, sf)
+    return versions.filtered_predictions(images, found, "o_orderkey", "name", "label", " 1-URGENT, 5-LOW", "N,R ").select("o_orderkey", "name", "label", "number")
+
+
+@query("SELECT o_orderkey, label FROM orders LEFT JOIN (SELECT l_orderkey, l_returnflag AS label FROM lineitem WHERE l_linenumber > 2) ON l_orderkey = o_orderkey WHERE o_orderpriority = '1-URGENT'")
+def filtered_predictions_with_unpredicted(spark, sf):
+    images, found = predicted(spark, sf)
+    return versions.filtered_predictions(images, found, "o_orderkey", "name", "label", "1-URGENT", None, False).select("o_orderkey", "label")
+
+
+@query("SELECT o_clerk AS name, list_filter(list(l_partkey ORDER BY l_partkey), lambda x: x IS NOT NULL) AS parts FROM (SELECT o_orderkey, 'c' || o_custkey AS o_clerk FROM orders) LEFT JOIN (SELECT l_orderkey, l_partkey FROM lineitem WHERE l_linenumber > 2) ON l_orderkey = o_orderkey GROUP BY 1")
+def predictions_by_name(spark, sf):
+    images = read(spark, sf, "orders").select("o_orderkey", F.concat(F.lit("c"), "o_custkey").alias("name"))
+    found = read(spark, sf, "lineitem").filter("l_linenumber > 2").select(F.col("l_orderkey").alias("o_orderkey"), "l_partkey")
+    rows = versions.regrouped_by_name(images, found, "o_orderkey", "name", ["l_partkey"])
+    return rows.select("name", F.transform("predictions", lambda p: p["l_partkey"]).alias("parts"))
+
+
+@query("SELECT round(avg(value), 6) AS fps FROM events")
+def mean_fps(spark, sf):
+    return evaluation.mean_fps(read(spark, sf, "events"), "value").select(F.round("fps", 6).alias("fps"))
+
+
+@query("SELECT 'Data_Version' AS label, s_nationkey::VARCHAR AS id FROM supplier UNION SELECT 'Model_Version', (s_suppkey % 9)::VARCHAR FROM supplier UNION SELECT 'Training_Version', s_suppkey::VARCHAR FROM supplier UNION SELECT 'Inference_Version', s_suppkey::VARCHAR FROM supplier")
+def lineage_catalog(spark, sf):
+    h = history(spark, sf)
+    out = h.select(lineage.DATA).select("label", "id")
+    for label in (lineage.MODEL, lineage.TRAINING, lineage.INFERENCE):
+        out = out.unionAll(h.select(label).select("label", "id"))
+    return out
+
+
 @query("SELECT (SELECT count(*) FROM embeddings) AS nodes, (SELECT count(DISTINCT label) FROM embeddings) AS classes, (SELECT list_sort(list(DISTINCT label)) FROM embeddings) AS labels, (SELECT list_sort(list(DISTINCT vec_id % 4)) FROM embeddings) AS years, (SELECT count(*) FROM labels) AS edges")
 def graph_profile(spark, sf):
     v = read(spark, sf, "embeddings").select("vec_id", "label", (F.col("vec_id") % 4).alias("year"))
@@ -157,7 +213,7 @@ def first_label_accuracy(spark, sf):
 
 @query("SELECT round(avg(value), 6) AS fps FROM events WHERE event_id > (SELECT min(event_id) FROM events)")
 def mean_fps_without_first(spark, sf):
-    return evaluation.mean_fps(read(spark, sf, "events").withColumn("fps", F.col("value")), "event_id").select(F.round("fps", 6).alias("fps"))
+    return evaluation.mean_fps_without_first(read(spark, sf, "events").withColumn("fps", F.col("value")), "event_id").select(F.round("fps", 6).alias("fps"))
 
 
 def all_boxes(spark, sf):

@@ -31,11 +31,13 @@ def read_csv(spark: SparkSession, path: str, fields: list[tuple[str, str]], deli
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line, text): the lines of a file with their places, from 0.
+    """(line, text): the lines of a file, or of a folder's files in the order of their
+    names, with their places from 0. Files are read in splits; lines are ordered by file,
+    split and place in the split, and numbered from the partitions' counts."""
+    from ..operators.tables import numbered
 
-    Line numbers come from counts of each partition, so no task sees the whole file."""
-    rows = spark.read.option("wholetext", False).text(path).rdd.map(lambda r: r.value).zipWithIndex()
-    return rows.map(lambda x: (x[1], x[0])).toDF("line long, text string")
+    rows = spark.read.text(path).select(F.col("value").alias("text"), "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("place"))
+    return numbered(rows, "line", 0, ["file_path", "file_block_start", "place"]).select("line", "text")
 
 
 def read_graph_folder(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
