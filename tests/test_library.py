@@ -1,14 +1,17 @@
 """Hand-checked cases: tables, types, graphs, lineage, evaluation, archives, streams."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
 from strataform.functions import scalars, types
-from strataform.operators import evaluation, gnn, lineage, subgraph, traverse, versions
+from strataform.operators import evaluation, gnn, lineage, partitioning, profiles, subgraph, traverse, versions
 from strataform.operators.graph import GraphError, PropertyGraph
 from strataform.operators.running import running_max, running_totals
-from strataform.operators.tables import Store, TableError, numbered
+from strataform.operators.tables import Store, Table, TableError, numbered
+from strataform.session import NoSharedFolder, shared_dir
 from strataform.sources import archive, text_tables
 from strataform.streaming import compaction
 
@@ -177,11 +180,117 @@ def test_stream_of_edges_is_folded_once(spark, tmp_path):
 
 
 def test_late_events_are_dropped(spark, tmp_path):
-    rows = spark.read.parquet("/root/testdata/sf0.001/events.parquet").select("ts", "event_type")
-    rows.orderBy("ts").coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
-    compaction.event_counts(stream).writeStream.format("memory").queryName("counts").outputMode("complete").trigger(availableNow=True).start().awaitTermination()
-    assert spark.table("counts").agg(F.sum("n")).first()[0] == rows.count()
+    """The watermark stands at 12:30 after the first file, so the event of the day before in
+    the second is late, while the one an hour back in an open window counts."""
+    kind = "ts string, event_type string"
+    batches = [[("2024-03-01 01:00:00", "a"), ("2024-03-02 13:30:00", "a")], [("2024-03-01 23:59:00", "a"), ("2024-03-02 12:40:00", "a"), ("2024-03-02 13:40:00", "b")], [("2024-03-05 00:00:00", "c")]]
+    (tmp_path / "in").mkdir()
+    counted = {}
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, kind).selectExpr("ts::timestamp AS ts", "event_type").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema("ts timestamp, event_type string").parquet(str(tmp_path / "in"))
+        keep = lambda df, n: counted.update({(str(r.start), r.event_type): r.n for r in df.collect()})
+        compaction.event_counts(stream).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    assert counted == {("2024-03-01 00:00:00", "a"): 1, ("2024-03-02 00:00:00", "a"): 2, ("2024-03-02 00:00:00", "b"): 1, ("2024-03-05 00:00:00", "c"): 1}
+
+
+def test_graphs_without_edges_and_with_other_properties(spark):
+    none = PropertyGraph("none")
+    assert none.keys().isEmpty() and none.vertices().isEmpty() and none.edge_counts().isEmpty() and none.adjacency().isEmpty() and none.merge().order_faults().first()[0] == 0
+    a = spark.createDataFrame([(k,) for k in range(6)], "id long")
+    g = PropertyGraph("g").define_vertex("a", a, "id")
+    rows = edges(spark).filter("src < 5 and dst < 5").selectExpr("0 AS src_type", "src", "0 AS dst_type", "dst")
+    g = g.insert_edges(rows.withColumn("w", F.lit(1))).merge().insert_edges(rows.withColumn("c", F.lit("x")))
+    assert g.edge_fields == ("w", "c") and g.edges().count() == 10 and g.edges().filter("w is null and c = 'x'").count() == 5
+    assert g.merge().edges().count() == 10 and g.truncate().edges().isEmpty() and g.truncate().info()["vertices"] == g.info()["vertices"]
+    few = g.merge(least=6)
+    assert few.main is g.main and few.delta is not None and g.merge(least=5).delta.isEmpty()
+    assert PropertyGraph("o", incoming=False).insert_edges(rows, False, only_in=True).edges().isEmpty()
+
+
+def test_order_faults_are_found(spark, tmp_path):
+    rows = spark.createDataFrame([(0, k % 7, 0, k) for k in range(40)], "src_type int, src long, dst_type int, dst long")
+    rows.coalesce(1).write.parquet(str(tmp_path / "one"))
+    rows.filter("src < 4").coalesce(1).sortWithinPartitions("src", "dst").write.parquet(str(tmp_path / "two"))
+    rows.filter("src > 2").coalesce(1).sortWithinPartitions("src", "dst").write.mode("append").parquet(str(tmp_path / "two"))
+    main = lambda name: PropertyGraph("g", main=spark.read.parquet(str(tmp_path / name)))
+    assert main("one").order_faults().first()[0] == 5 and main("two").order_faults().first()[0] == 1
+    assert PropertyGraph("g").insert_edges(rows, False).merge(3).order_faults().first()[0] == 0
+
+
+def test_walk_samples(spark):
+    e = edges(spark)
+    got = {}
+    for r in traverse.walk_samples(e, ids(spark, 1, 4, 6), 4, 3, 0.1, 5).collect():
+        got.setdefault(r.start, set()).add(r.vid)
+    assert {1} < got[1] <= {1, 2, 3} and len(got[1]) == 3 and got[4] <= {4, 5} and got[6] == {6}
+    placed, degrees = traverse.indexed(e.union(e))
+    seen = {}
+    for r in placed.collect():
+        seen.setdefault(r.src, []).append((r.place, r.dst))
+    assert {k: [d for _, d in sorted(v)] for k, v in seen.items()} == {1: [2, 2, 2, 2, 3, 3], 2: [3, 3], 3: [1, 1], 4: [5, 5]}
+    assert all(sorted(p for p, _ in v) == list(range(len(v))) for v in seen.values()) and {r.src: r.degree for r in degrees.collect()}[1] == 6
+
+
+def test_sampled_neighbours_by_fanout(spark):
+    rng = random.Random(2)
+    pairs = [(rng.randrange(30), rng.randrange(30)) for _ in range(300)]
+    e = spark.createDataFrame(pairs, "src long, dst long")
+    got = {}
+    for r in traverse.sampled_neighbours(e, ids(spark, *range(0, 40, 2)), 4, 9).collect():
+        got.setdefault(r.src, []).append(r.dst)
+    for v in range(0, 40, 2):
+        own = {d for s, d in pairs if s == v}
+        assert len(got[v]) == len(set(got[v])) == max(1, min(4, len(own))) and set(got[v]) <= (own or {v})
+
+
+def test_lines_are_numbered_across_splits(spark, tmp_path):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        (tmp_path / "f.csv").write_text("".join(f"line {k}\n" for k in range(2000)))
+        got = text_tables.numbered_lines(spark, str(tmp_path / "f.csv")).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert {r.line: r.text for r in got} == {k: f"line {k}" for k in range(2000)}
+
+
+def test_edge_balanced_splits(spark):
+    e = spark.range(10000).selectExpr("id * id % 997 AS src", "id AS dst")
+    splits = partitioning.edge_balanced_splits(e, 4)
+    sizes = [r.rows for r in partitioning.range_counts(e, "src", splits).collect()]
+    assert len(sizes) == 4 and max(sizes) < 2900
+
+
+def test_predictions_and_profiles(spark):
+    images = spark.createDataFrame([(1, "a", 10.0), (2, "b", 20.0), (3, "a", None)], "k long, name string, fps double")
+    found = spark.createDataFrame([(1, "x", "object", 1), (1, "y", "line", 2), (3, "x", "object", 3)], "k long, label string, kind string, n int")
+    assert versions.filtered_predictions(images, found, "k", "name", "label", "a , c", "x").count() == 2
+    assert versions.filtered_predictions(images, found, "k", "name", "label", None, None, False).count() == 4
+    assert {r.name: [p.n for p in r.predictions] for r in versions.regrouped_by_name(images, found, "k", "name", ["n"]).collect()} == {"a": [1, 2, 3], "b": []}
+    assert tuple(profiles.predict_profile(images, found, "k", "kind", "fps").first()) == (3, 1, 2, 2 / 3, 15.0)
+    assert evaluation.mean_fps(images.limit(0)).first().fps == 0
+    taken = spark.createDataFrame([(0, "a"), (2, "b")], "rid long, v string")
+    assert sorted(map(tuple, Table("t", taken).insert_at(spark.createDataFrame([(1, "c"), (1, "b"), (2, "z")], "rid long, v string")).rows.collect())) == [(0, "a"), (1, "b"), (2, "b")]
+
+
+def test_propagation_of_wide_features(spark):
+    weights = spark.createDataFrame([(0, 1, 0.5), (2, 1, 2.0), (1, 0, 1.0)], "src long, dst long, weight double")
+    features = spark.range(3).selectExpr("id", "transform(sequence(1, 1500), x -> double(x * id)) AS features")
+    got = {r.id: r.features for r in gnn.propagated(weights, features, 1500).collect()}
+    assert got[1] == [4.0 * x for x in range(1, 1501)] and got[0] == [1.0 * x for x in range(1, 1501)]
+
+
+def test_no_shared_folder_is_an_error_on_a_cluster():
+    class Context:
+        master = "spark://host:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+        getConf = staticmethod(lambda: {})
+
+    class Session:
+        sparkContext = Context
+
+    with pytest.raises(NoSharedFolder):
+        shared_dir(Session)
 
 
 def test_scalars(spark):
