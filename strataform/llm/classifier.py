@@ -189,7 +189,8 @@ def sampled(docs: DataFrame, labels: DataFrame, sample: int) -> list:
     shortest text counts. The driver sees sizes first and then the texts that fit."""
     rows = labels.select("doc_id", "quality").filter("doc_id is not null and quality is not null").filter(~held_out(F.col("doc_id")))
     texts = docs.select("doc_id", "text", F.octet_length("text").cast("long").alias("n"), F.xxhash64("text").alias("told")).filter("text is not null")
-    one = texts.groupBy("doc_id").agg(F.min(F.struct("n", "told")).alias("one")).select("doc_id", "one.*")
+    # only labelled documents are grouped, so that labels of a broadcast's size keep the rest from a shuffle
+    one = texts.join(rows.select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("n", "told")).alias("one")).select("doc_id", "one.*")
     order = [F.col("n") > LONGEST, F.xxhash64("doc_id"), F.col("doc_id"), F.col("quality")]
     chosen, held = [], 0
     for r in rows.join(one, "doc_id").orderBy(*order).limit(sample).select("doc_id", "quality", "n", "told").collect():
