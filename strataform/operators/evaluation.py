@@ -39,7 +39,24 @@ def overlap(a: str, b: str):
     height = F.greatest(F.lit(0.0), F.least(f"{a}.ymax", f"{b}.ymax") - F.greatest(f"{a}.ymin", f"{b}.ymin"))
     area = lambda x: (F.col(f"{x}.xmax") - F.col(f"{x}.xmin")) * (F.col(f"{x}.ymax") - F.col(f"{x}.ymin"))
     both = width * height
-    return both / (area(a) + area(b) - both)
+    return F.try_divide(both, area(a) + area(b) - both)  # null if neither box has an area
+
+
+def matched(truth: DataFrame, found: DataFrame) -> DataFrame:
+    """(label, item, det, score, iou, ahead): each detection's overlap with its best box of
+    its label in the item, and the best overlap that a better scored detection has with
+    that box. iou is null without a box. So a detection is a hit for thresholds above
+    ahead, up to iou: one pass serves all thresholds."""
+    pairs = found.join(truth.select("item", "label", "box_id", F.col("box").alias("real")), ["item", "label"], "left")
+    iou = F.when(F.col("box_id").isNotNull(), F.coalesce(overlap("box", "real"), F.lit(0.0)))
+    best = first_per_key(pairs.withColumn("iou", iou).select("item", "label", "det", "score", "box_id", "iou"), ["item", "label", "det"], ["-iou", "box_id"])
+    before = Window.partitionBy("item", "label", "box_id").orderBy(F.desc("score"), "det").rowsBetween(Window.unboundedPreceding, -1)
+    return best.select("label", "item", "det", "score", "iou", F.max("iou").over(before).alias("ahead"))
+
+
+def is_hit(threshold: float):
+    """Whether a row of matched is a hit for threshold."""
+    return F.coalesce(F.col("iou") >= threshold, F.lit(False)) & F.coalesce(F.col("ahead") < threshold, F.lit(True))
 
 
 def detections(truth: DataFrame, found: DataFrame, thresholds: list[float]) -> DataFrame:
@@ -47,37 +64,48 @@ def detections(truth: DataFrame, found: DataFrame, thresholds: list[float]) -> D
     the item is a hit if it overlaps enough and no better scored detection has that box.
 
     truth: (item, label, box_id, box), found: (item, label, det, score, box)."""
-    pairs = found.join(truth.select("item", "label", "box_id", F.col("box").alias("real")), ["item", "label"], "left")
-    best = first_per_key(pairs.withColumn("iou", F.coalesce(overlap("box", "real"), F.lit(0.0))).select("item", "label", "det", "score", "box_id", "iou"), ["item", "label", "det"], ["-iou", "box_id"])
-    spread = best.withColumn("threshold", F.explode(F.array(*[F.lit(t) for t in thresholds])))
-    spread = spread.withColumn("enough", F.col("box_id").isNotNull() & (F.col("iou") >= F.col("threshold")))
-    turn = F.row_number().over(Window.partitionBy("threshold", "item", "label", "box_id", "enough").orderBy(F.desc("score"), "det"))
-    return spread.select("threshold", "label", "item", "det", "score", (F.col("enough") & (turn == 1)).alias("hit"))
+    each = F.array(*[F.struct(F.lit(t).alias("threshold"), is_hit(t).alias("hit")) for t in thresholds])
+    rows = matched(truth, found).select("label", "item", "det", "score", F.inline(each))
+    return rows.select("threshold", "label", "item", "det", "score", "hit")
+
+
+def precision_steps(truth: DataFrame, found: DataFrame, thresholds: list[float]) -> DataFrame:
+    """(threshold, label, tp, real, best): for each hit the number of hits so far, of all
+    real boxes, and the best precision at this or any higher recall. The detections are
+    ordered once for all thresholds; only hits are spread over them."""
+    hits = {f"_tp{k}": is_hit(t).cast("long") for k, t in enumerate(thresholds)}
+    ranked = matched(truth, found).withColumn("worse", -F.col("score"))
+    curve = running_totals(ranked, ["label"], ["worse", "item", "det"], {"seen": F.lit(1).cast("long"), **hits})
+    each = F.array(*[F.struct(F.lit(t).alias("threshold"), is_hit(t).alias("hit"), F.col(f"_tp{k}").alias("tp")) for k, t in enumerate(thresholds)])
+    steps = curve.select("label", "seen", F.inline(F.filter(each, lambda e: e["hit"]))).withColumn("precision", F.col("tp") / F.col("seen"))
+    steps = steps.join(truth.groupBy("label").agg(F.count("*").alias("real")), "label").select("threshold", "label", "tp", "real", "precision")
+    steps = running_max(steps.withColumn("back", -F.col("tp")), ["threshold", "label"], ["back"], {"best": F.col("precision")})
+    return steps.select("threshold", "label", "tp", "real", "best")
 
 
-def average_precision(truth: DataFrame, found: DataFrame, thresholds: list[float], points: int | None = None) -> DataFrame:
-    """(threshold, label, ap): the area under the interpolated precision, at all recalls or
-    at evenly spaced points (101 for the COCO rule)."""
-    hits = detections(truth, found, thresholds)
-    real = truth.groupBy("label").agg(F.count("*").alias("real"))
-    curve = running_totals(hits.withColumn("worse", -F.col("score")), ["threshold", "label"], ["worse", "item", "det"], {"tp": F.col("hit").cast("long"), "seen": F.lit(1).cast("long")})
-    curve = curve.join(real, "label").select("threshold", "label", "hit", "tp", (F.col("tp") / F.col("seen")).alias("precision"), (F.col("tp") / F.col("real")).alias("recall"), "real")
-    # recall steps: the precision kept at a recall is the best at it or any higher recall
-    steps = curve.groupBy("threshold", "label", "tp", "real").agg(F.max("precision").alias("precision")).filter("tp > 0")
-    steps = running_max(steps.withColumn("back", -F.col("tp")), ["threshold", "label"], ["back"], {"best": F.col("precision")})
-    labels = real.withColumn("threshold", F.explode(F.array(*[F.lit(t) for t in thresholds]))).select("threshold", "label")
+def areas(steps: DataFrame, truth: DataFrame, thresholds: list[float], points: int | None = None) -> DataFrame:
+    """(threshold, label, ap) from precision_steps; 0 for labels without a hit."""
     if points is None:
         area = steps.groupBy("threshold", "label").agg(F.sum(F.col("best") / F.col("real")).alias("ap"))
     else:  # the points with recall in (step - 1, step] take that step's precision
         gap = points - 1
         low = F.when(F.col("tp") == 1, F.lit(-1)).otherwise(F.floor((F.col("tp") - 1) * gap / F.col("real")))
         area = steps.groupBy("threshold", "label").agg((F.sum(F.col("best") * (F.floor(F.col("tp") * gap / F.col("real")) - low)) / points).alias("ap"))
+    labels = truth.select("label").distinct().withColumn("threshold", F.explode(F.array(*[F.lit(t) for t in thresholds])))
     return labels.join(area, ["threshold", "label"], "left").select("threshold", "label", F.coalesce("ap", F.lit(0.0)).alias("ap"))
 
 
+def average_precision(truth: DataFrame, found: DataFrame, thresholds: list[float], points: int | None = None) -> DataFrame:
+    """(threshold, label, ap): the area under the interpolated precision, at all recalls or
+    at evenly spaced points (101 for the COCO rule)."""
+    return areas(precision_steps(truth, found, thresholds), truth, thresholds, points)
+
+
 def mean_average_precision(truth: DataFrame, found: DataFrame) -> DataFrame:
     """voc: mean over labels at overlap 0.5; coco: mean over labels and overlaps 0.5 to
     0.95 at 101 recalls, times 100."""
-    voc = average_precision(truth, found, [0.5]).agg(F.avg("ap").alias("voc"))
-    coco = average_precision(truth, found, [round(0.5 + 0.05 * k, 2) for k in range(10)], 101).agg((F.avg("ap") * 100).alias("coco"))
+    thresholds = [round(0.5 + 0.05 * k, 2) for k in range(10)]
+    steps = precision_steps(truth, found, thresholds)
+    voc = areas(steps.filter(F.col("threshold") == 0.5), truth, [0.5]).agg(F.avg("ap").alias("voc"))
+    coco = areas(steps, truth, thresholds, 101).agg((F.avg("ap") * 100).alias("coco"))
     return voc.withColumn("_", F.lit(1)).join(coco.withColumn("_", F.lit(1)), "_").drop("_")
