@@ -49,7 +49,9 @@ def matched(truth: DataFrame, found: DataFrame) -> DataFrame:
     ahead, up to iou: one pass serves all thresholds."""
     pairs = found.join(truth.select("item", "label", "box_id", F.col("box").alias("real")), ["item", "label"], "left")
     iou = F.when(F.col("box_id").isNotNull(), F.coalesce(overlap("box", "real"), F.lit(0.0)))
-    best = first_per_key(pairs.withColumn("iou", iou).select("item", "label", "det", "score", "box_id", "iou"), ["item", "label", "det"], ["-iou", "box_id"])
+    # the join has brought a detection's boxes together: numbering them takes no shuffle
+    order = Window.partitionBy("item", "label", "det").orderBy(F.desc("iou"), "box_id")
+    best = pairs.withColumn("iou", iou).select("item", "label", "det", "score", "box_id", "iou", F.row_number().over(order).alias("turn")).filter("turn = 1")
     before = Window.partitionBy("item", "label", "box_id").orderBy(F.desc("score"), "det").rowsBetween(Window.unboundedPreceding, -1)
     return best.select("label", "item", "det", "score", "iou", F.max("iou").over(before).alias("ahead"))
 
