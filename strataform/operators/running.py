@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,7 +13,8 @@ from ..session import checkpointed
 
 def running(df: DataFrame, groups: list[str], order: list[Column | str], values: dict[str, Column], fold=F.sum) -> DataFrame:
     """df with, for each name in values, its column folded (F.sum or F.max) over the rows of
-    the same group up to and with this one. The order must tell all rows of a group apart.
+    the same group up to and with this one; rows whose group is null are a group of their
+    own. The order must tell all rows of a group apart.
 
     Rows are range-partitioned by group and order; only each partition's results by group
     pass through a window of their own, so a group that holds most rows is still spread
@@ -23,7 +27,9 @@ def running(df: DataFrame, groups: list[str], order: list[Column | str], values:
     totals = parts.groupBy("_part", *groups).agg(*[fold(v).alias(f"_all_{n}") for n, v in values.items()])
     ahead = Window.partitionBy(*groups).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select("_part", *groups, *[fold(f"_all_{n}").over(ahead).alias(f"_ahead_{n}") for n in values])
-    joined = parts.join(totals, ["_part", *groups])
+    named = totals.withColumnsRenamed({c: f"_of_{c}" for c in ["_part", *groups]})
+    same = [F.col(g).eqNullSafe(F.col(f"_of_{g}")) for g in groups]  # nulls are a group, too
+    joined = parts.join(named, reduce(and_, same, F.col("_part") == F.col("_of__part")))
     both = {n: F.greatest(f"_in_{n}", f"_ahead_{n}") if fold is F.max else F.col(f"_in_{n}") + F.coalesce(f"_ahead_{n}", F.lit(0)) for n in values}
     return joined.select(*df.columns, *[c.alias(n) for n, c in both.items()])
 

@@ -81,6 +81,12 @@ def test_running_totals_and_numbers_over_partitions(spark):
     assert [r.n for r in numbered(df, "n", 10, ["id"]).orderBy("id").collect()] == list(range(10, 1010))
 
 
+def test_running_totals_keep_rows_whose_group_is_null(spark):
+    df = spark.createDataFrame([(None, 1), ("a", 2), (None, 3), ("a", 4)], "g string, id int").repartition(3)
+    assert sorted((r.id, r.t) for r in running_totals(df, ["g"], ["id"], {"t": F.col("id")}).collect()) == [(1, 1), (2, 2), (3, 4), (4, 6)]
+    assert sorted((r.id, r.t) for r in running_max(df, ["g"], ["id"], {"t": -F.col("id")}).collect()) == [(1, -1), (2, -2), (3, -1), (4, -2)]
+
+
 def test_graph_counts_upserts_and_ends(spark):
     a = spark.createDataFrame([(k, f"a{k}") for k in range(1, 7)], "id long, name string")
     g = PropertyGraph("g").define_vertex("a", a, "id").define_vertex("b", a.limit(0), "id")
