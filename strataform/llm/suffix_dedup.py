@@ -331,21 +331,27 @@ def merged(spans: list[tuple[int, int]]) -> list[list[int]]:
 KEPT = "key long, size int, n_removed long, n_spans long, kept binary"
 
 
-def cut_texts(match: int):
+def cut_texts(characters: bool):
+    """Rows (text, key, size, copies, starts, ends) to KEPT. characters: what is left of a
+    character that was cut goes too."""
+
     def cut(batches):
         for batch in batches:
             out = []
             for text, key, size, copies, starts, ends in zip(*[c.to_pylist() for c in batch.columns]):
                 spans = [[0, size]] if copies > 1 else merged(list(zip(starts or [], ends or [])))
                 edges = [0, *[x for s in spans for x in s], size]
-                out.append((key, size, sum(b - a for a, b in spans), len(spans), b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2]))))
+                kept = b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2]))
+                if characters and spans:
+                    kept = kept.decode("utf-8", "ignore").encode()
+                out.append((key, size, sum(b - a for a, b in spans), len(spans), kept))
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(list(zip(*out)) or [()] * 5, kinds)], [f.split()[0] for f in KEPT.split(", ")])
 
     return cut
 
 
-def kept_bytes(docs: DataFrame, match: int = MATCH, gram: int = GRAM) -> DataFrame:
+def kept_bytes(docs: DataFrame, match: int = MATCH, gram: int = GRAM, characters: bool = False) -> DataFrame:
     """KEPT for each different text of docs of at least match bytes."""
     size = F.coalesce(F.octet_length("text").cast("int"), F.lit(0))
     # All readers of texts, and all of runs, must ask for the same rows and columns to share
@@ -375,7 +381,7 @@ def kept_bytes(docs: DataFrame, match: int = MATCH, gram: int = GRAM) -> DataFra
     spans = alive.filter("mix = 0").select(*span).unionAll(whole).unionAll(marks)
     by_text = spans.groupBy("key", "size").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
     joined = texts.join(by_text, ["key", "size"], "left").select("text", "key", "size", "copies", F.flatten("spans.a").alias("starts"), F.flatten("spans.b").alias("ends"))
-    return joined.mapInArrow(cut_texts(match), KEPT)
+    return joined.mapInArrow(cut_texts(characters), KEPT)
 
 
 def repeated_bytes(docs: DataFrame, match: int = MATCH, gram: int = GRAM) -> DataFrame:
@@ -394,13 +400,11 @@ def repeated_bytes(docs: DataFrame, match: int = MATCH, gram: int = GRAM) -> Dat
 def without_repeats(docs: DataFrame, match: int = MATCH, gram: int = GRAM) -> DataFrame:
     """docs with its columns, repeated bytes cut from text. A character of which only a
     part is left goes too; n_chars, if docs has it, counts the new text. All rows stay."""
-    taken = {c: fresh(docs, c) for c in ("key", "size", "own_text", "kept_key", "kept_size", "valid", "made", "new_text")}
-    key, size, own, kept_key, kept_size, valid, made, new = taken.values()
+    taken = {c: fresh(docs, c) for c in ("key", "size", "own_text", "kept_key", "kept_size", "kept_text", "new_text")}
+    key, size, own, kept_key, kept_size, kept_text, new = taken.values()
     rows = docs.withColumns({key: F.xxhash64("text"), size: F.octet_length("text").cast("int"), own: F.when(F.octet_length("text") < match, F.col("text"))}).drop("text")
-    string = F.col("kept").cast("string")
-    kept = kept_bytes(docs, match, gram).select(F.col("key").alias(kept_key), F.col("size").alias(kept_size), F.try_validate_utf8(string).alias(valid), F.make_valid_utf8(string).alias(made))
-    text = F.coalesce(own, valid, F.regexp_replace(made, "\ufffd", ""))
-    joined = rows.join(kept, (F.col(key) == F.col(kept_key)) & (F.col(size) == F.col(kept_size)), "left").withColumn(new, text)
+    kept = kept_bytes(docs, match, gram, True).select(F.col("key").alias(kept_key), F.col("size").alias(kept_size), F.col("kept").cast("string").alias(kept_text))
+    joined = rows.join(kept, (F.col(key) == F.col(kept_key)) & (F.col(size) == F.col(kept_size)), "left").withColumn(new, F.coalesce(own, kept_text))
     cols = [F.col(new).alias("text") if c == "text" else F.char_length(new).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
     return joined.select(*cols)
 

@@ -63,7 +63,7 @@ def test_against_brute_force(spark, match, gram, large, monkeypatch):
     for k in range(24):
         cut = rng.randrange(60)
         texts.append(text(rng.randrange(300)) + shared[k % 3][cut:] + text(rng.randrange(200)) + (shared[(k + 1) % 3] if k % 4 == 0 else ""))
-    texts += [texts[-1], texts[-1], texts[-2] + "!", text(90) + texts[10], shared[0] + shared[0]]
+    texts += [texts[-1], texts[-1], texts[-2] + "!", text(90) + texts[10], shared[0] + shared[0], "\ufffd" + "é" * 150 + "ö\ufffd"]
     docs = spark.createDataFrame([(k, t, "clash", len(t or "")) for k, t in enumerate(texts)] + [(None, texts[4], "c", 1)], DOCS)
     want = brute([*texts, texts[4]], match)
     got = sorted(((r.doc_id if r.doc_id is not None else len(texts), r) for r in sd.repeated_bytes(docs, match, gram).collect()), key=lambda x: x[0])
